@@ -49,6 +49,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
         path = self._path(self.root)
+        self._fs(path).mkdirs(path)
         self._fs(path).deleteOnExit(path)
 
     def _path(self, name: str):
@@ -68,6 +69,13 @@ class Workspace:
             self._fs(path).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch, and so a Python worker's memory, for this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``.
 

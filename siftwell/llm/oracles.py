@@ -50,4 +50,11 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLES = {"op4_quality_rules": OP4, "op6_source_mixing": OP6}
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+ORACLES = {"op4_quality_rules": OP4, "op6_source_mixing": OP6, "op9_warc_zip": OP9}
