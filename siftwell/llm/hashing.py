@@ -100,6 +100,6 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
         if b - a >= k:
             yield np.unique(s[a : b - k + 1])
         elif b > a:
-            yield mix(np.array([np.sum(h[a:b] * _FACTORS[: b - a], dtype=np.uint64) + _FACTORS[63] * U(b - a)], np.uint64))
+            yield mix(np.sum(h[a:b] * _FACTORS[: b - a], dtype=np.uint64, keepdims=True) + _FACTORS[63 - b + a : 64 - b + a])
         else:
             yield np.zeros(0, np.uint64)
