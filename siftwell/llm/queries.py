@@ -43,4 +43,10 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op9_warc_zip)}
+def op10_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import StableIndex
+
+    return StableIndex(k=20).nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op9_warc_zip, op10_stable_neighbours)}
