@@ -36,6 +36,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, PersonalData, span_string
+
+    rows = PersonalData().spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    return rows.select("doc_id", *counts, F.sha2(span_string("base").cast("binary"), 256).alias("base_sha256"), span_string("spans").alias("spans"))
+
+
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zip import round_trip
 
@@ -49,4 +57,4 @@ def op10_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StableIndex(k=20).nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op9_warc_zip, op10_stable_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op8_personal_data, op9_warc_zip, op10_stable_neighbours)}
