@@ -14,6 +14,29 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MinHash(shingle=3, percent=85).components_of(table(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_ensemble import RuleEnsemble
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = RuleEnsemble().fit(docs, table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
+    rows = model.score(docs.withColumn("held_out", _remainder(5) == 0))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import LanguageModel
+
+    docs = table(spark, sf_dir, "documents")
+    model = LanguageModel().fit(docs.filter(_remainder(4) != 2))
+    rows = docs.select("doc_id", (_remainder(4) == 2).alias("held_out"), "text")
+    return model.predict(rows).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_rules import LineRules
 
@@ -57,4 +80,4 @@ def op10_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StableIndex(k=20).nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op8_personal_data, op9_warc_zip, op10_stable_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_quality_classifier, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_language, op8_personal_data, op9_warc_zip, op10_stable_neighbours)}
