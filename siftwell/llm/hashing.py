@@ -63,12 +63,22 @@ def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarr
         i = j
 
 
+#: Everything in ASCII but letters and digits, for words without punctuation.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
 def words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the bounds of each text's words."""
+    return located_words(flat, bounds)[:2]
+
+
+def located_words(flat: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
+    """As ``words``, with the words' first and last bytes.  between: which bytes separate words."""
     n = len(flat)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    space = _SPACE[flat]
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), none, none
+    space = between[flat]
     first = np.empty(n, bool)
     first[0] = True
     first[1:] = space[:-1]
@@ -86,7 +96,7 @@ def words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     h = sums[end]
     before = start > 0
     h[before] -= sums[start[before] - 1]
-    return mix(h * inverse[start]), np.searchsorted(start, bounds)
+    return mix(h * inverse[start]), np.searchsorted(start, bounds), start, end
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:

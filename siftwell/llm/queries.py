@@ -14,6 +14,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MinHash(shingle=3, percent=85).components_of(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import LicenseScan
+
+    return LicenseScan().scan(table(spark, sf_dir, "documents"))
+
+
 def _remainder(n: int):
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
@@ -80,4 +86,4 @@ def op10_stable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return StableIndex(k=20).nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_quality_classifier, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_language, op8_personal_data, op9_warc_zip, op10_stable_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_license_scan, op3_quality_classifier, op4_quality_rules, op5_best_fit_packing, op6_source_mixing, op7_language, op8_personal_data, op9_warc_zip, op10_stable_neighbours)}
