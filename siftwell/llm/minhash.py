@@ -4,13 +4,16 @@
    functions (a x + b modulo 2^64), folded into band hashes, and a digest of the set.  Texts
    with one digest have equal sets and form a class; from here on one row stands for a class, so
    a thousand copies cost one.
-2. Classes with an equal band form a bucket.  Each is compared with its bucket's smallest id: a
-   number of pairs in proportion to the members, never all pairs.
-3. Pairs are confirmed on the full sets, which are read again for those classes only.
+2. Classes with an equal band form a bucket.  For every class in a bucket of two or more, the
+   shingles that no other such class has are counted.  They can't lie in an intersection, which bounds the
+   similarity of each pair from above: classes and pairs below the threshold go.  What is left
+   are copies and their edits, not texts that share a passage.
+3. Each class is compared with the most central member of its bucket, the one with the largest buckets:
+   pairs in proportion to the members, never all pairs.  Pairs are confirmed on the full sets.
 4. Components of the confirmed links by alternating large-star and small-star.
 5. No link is lost: in a bucket that still holds several components, every member outside
-   its largest component is compared with every member of another component, and step 4 runs
-   over all links again.
+   its largest component is compared with every member of another component that the bound
+   of step 2 leaves, and step 4 runs over all links again.
 
 Bands are sized so that a pair at the threshold shares none with a probability below ``miss``.
 Hot keys: buckets and classes are found by partial aggregation; joins on them are between
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -39,7 +42,7 @@ from .stars import star_components
 
 
 class MinHash:
-    def __init__(self, *, shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 2e-6, seed: int = 11, text: str = "text", id_col: str = "doc_id", broadcast_ids: int = 500_000) -> None:
+    def __init__(self, *, shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 2e-6, seed: int = 11, text: str = "text", id_col: str = "doc_id", broadcast_ids: int = 200_000) -> None:
         """Texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``shingle``-word shingles."""
         self.k, self.percent, self.rows = shingle, percent, rows
         self.bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
@@ -79,42 +82,91 @@ class MinHash:
         rows_ = docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.col(self.text).cast("string").alias("text"))
         return rows_.mapInArrow(task, "doc_id long, n_shingles long, cls binary, bands array<long>")
 
+    def _texts(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
+        """id, text, cls for the given (id, cls)."""
+        wanted = ids.select(F.col("id").alias("i"), "cls").distinct()
+        if wanted.limit(self.broadcast_ids + 1).count() <= self.broadcast_ids:
+            wanted = F.broadcast(wanted)
+        texts = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text).cast("string").alias("text"))
+        return texts.join(wanted, F.col("id") == F.col("i")).select("id", "text", "cls")
+
+    def _own(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        """Row and set, for the rows of ``_texts`` whose text is of the class that is asked for."""
+        for first, flat, bounds in hashing.pieces(batch.column(1)):
+            for i, u in enumerate(hashing.shingles(*hashing.words(flat, bounds), self.k)):
+                if hashlib.blake2b(u.tobytes(), digest_size=16).digest() == batch.column(2)[first + i].as_py():
+                    yield first + i, u
+
     def _sets(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
         """id, cls, own (the whole set) for the given (id, cls)."""
-        k = self.k
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got, cls, sets = 0, [], []
-                for first, flat, bounds in hashing.pieces(batch.column(1)):
-                    for u in hashing.shingles(*hashing.words(flat, bounds), k):
-                        got += 1
-                        cls.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-                        sets.append(u.view(np.int64))
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cls)), pa.array(cls, pa.binary()), lists], names=["id", "cls", "own"])
-                    cls, sets = [], []
-
-        wanted = ids.select(F.col("id").alias("i")).distinct()
-        if wanted.limit(self.broadcast_ids + 1).count() <= self.broadcast_ids:
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.col(self.id_col).cast("long").alias("id"), F.col(self.text).cast("string").alias("text"))
-        return texts.join(wanted, F.col("id") == F.col("i"), "left_semi").mapInArrow(task, "id long, cls binary, own array<long>")
+                rows, sets = [], [np.zeros(0, np.uint64)]
+                for i, u in self._own(batch):
+                    rows.append(i)
+                    sets.append(u)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in sets]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), lists], names=["id", "cls", "own"])
+
+        return self._texts(docs, ids).mapInArrow(task, "id long, cls binary, own array<long>").dropDuplicates(["id", "cls"])
 
-    def _confirmed(self, work: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    def _alone(self, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
+        """cls, alone: how many of its shingles no other of the given classes has.  total: of all their shingles.
+
+        Shingles are dealt out by ranges of their hash, about a million to a range, 8 bytes each.
+        """
+        parts = max(1, total // 1_000_000)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, sets = [], []
+                for i, u in self._own(batch):
+                    rows.append(i)
+                    sets.append(u)
+                if not sets:
+                    continue
+                values, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                part = (((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                values, doc, part = values[order].view(np.int64), doc[order], part[order]
+                out: tuple[list, ...] = ([], [], [], [])
+                for p in np.unique(part):
+                    a, b = np.searchsorted(part, [p, p + 1])
+                    own, counts = np.unique(doc[a:b], return_counts=True)
+                    for column, value in zip(out, (int(p), [batch.column(2)[rows[i]].as_py() for i in own], counts, values[a:b]), strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["part", "cls", "counts", "own"])
+
+        def count(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            cls, counts, values = (table[c].combine_chunks().flatten() for c in ("cls", "counts", "own"))
+            counts, values = counts.to_numpy(), values.to_numpy()
+            _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+            single = np.concatenate([[0], np.cumsum(times[at] == 1)])
+            ends = np.cumsum(counts)
+            return pa.table({"cls": cls, "alone": pa.array(single[ends] - single[ends - counts], pa.int64())})
+
+        dealt = self._texts(docs, ids).mapInArrow(deal, "part long, cls array<binary>, counts array<long>, own array<long>")
+        each = dealt.groupBy("part").applyInArrow(count, "cls binary, alone long")
+        return each.groupBy("cls").agg(F.sum("alone").alias("alone"))
+
+    def _possible(self, x: str, y: str) -> Column:
+        """Whether rows with sizes n{x}, n{y} and at most k{x}, k{y} shingles to share may be linked."""
+        most = F.least(f"k{x}", f"k{y}")
+        return 100 * most >= self.percent * (F.col(f"n{x}") + F.col(f"n{y}") - most)
+
+    def _confirmed(self, work: Workspace, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, ca, b, cb) that are linked on their full sets, as a, b."""
         pairs = work.save(pairs, f"{name}_pairs")
-        ids = work.save(pairs.select(F.col("a").alias("id"), F.col("ca").alias("c")).unionByName(pairs.select(F.col("b").alias("id"), F.col("cb").alias("c"))).distinct(), f"{name}_ids")
-        sets = self._sets(docs, ids).join(ids.withColumnRenamed("id", "i"), (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c")), "left_semi")
-        sets = work.save(sets.dropDuplicates(["id", "cls"]), f"{name}_sets")
         left = sets.select(F.col("id").alias("a"), F.col("cls").alias("ca"), F.col("own").alias("sa"))
         right = sets.select(F.col("id").alias("b"), F.col("cls").alias("cb"), F.col("own").alias("sb"))
-        same = F.size(F.array_intersect("sa", "sb"))
         both = pairs.join(left, ["a", "ca"]).join(right, ["b", "cb"])
-        linked = both.withColumn("i", same).filter(100 * F.col("i") >= self.percent * (F.size("sa") + F.size("sb") - F.col("i")))
+        linked = both.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(100 * F.col("i") >= self.percent * (F.size("sa") + F.size("sb") - F.col("i")))
         out = work.save(linked.select("a", "b"), f"{name}_links")
-        work.drop(f"{name}_pairs", f"{name}_ids", f"{name}_sets")
+        work.drop(f"{name}_pairs")
         return out
 
     def components_of(self, docs: DataFrame) -> DataFrame:
@@ -124,32 +176,48 @@ class MinHash:
         some = signed.filter("cls is not null and doc_id is not null")
         reps = work.save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
         members = reps.select("rep", "cls", "n", F.posexplode("bands").alias("band", "h"))
-        centers = members.groupBy("band", "h").agg(F.min(F.struct("rep", "cls", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        centers = work.save(centers.select(F.col("band").alias("cband"), F.col("h").alias("ch"), F.col("c.rep").alias("crep"), F.col("c.cls").alias("ccls"), F.col("c.n").alias("cn")), "centers")
-        shared = members.join(centers, (F.col("band") == F.col("cband")) & (F.col("h") == F.col("ch"))).drop("cband", "ch")
-        shared = work.save(shared, "shared")
-        sizes = lambda x, y: self.percent * F.greatest(F.col(x), F.col(y)) <= 100 * F.least(F.col(x), F.col(y))
-        pairs = shared.filter((F.col("cls") != F.col("ccls")) & sizes("n", "cn")).select(F.col("crep").alias("a"), F.col("ccls").alias("ca"), F.col("rep").alias("b"), F.col("cls").alias("cb")).distinct()
-        links = self._confirmed(work, docs, reps, pairs, "first")
+        buckets = work.save(members.groupBy(F.col("band").alias("b"), F.col("h").alias("c")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("b", "c"), "buckets")
+        shared = work.save(members.join(buckets, (F.col("band") == F.col("b")) & (F.col("h") == F.col("c"))).drop("b", "c"), "shared")
+
+        asked = work.save(shared.select(F.col("rep").alias("id"), "cls", "n").distinct(), "asked")
+        total = asked.agg(F.sum("n")).first()[0] or 0
+        alone = work.save(self._alone(docs, asked, total), "alone")
+        able = asked.join(alone, "cls").select(F.col("id").alias("i"), F.col("cls").alias("c"), (F.col("n") - F.col("alone")).alias("k"))
+        able = work.save(able.join(asked.select("cls", "n"), F.col("c") == F.col("cls")).filter(100 * F.col("k") >= self.percent * F.col("n")).select("i", "c", "k"), "able")
+        near = work.save(shared.join(able, (F.col("rep") == F.col("i")) & (F.col("cls") == F.col("c"))).drop("i", "c"), "near")
+        work.drop("buckets", "shared", "alone")
+        sets = work.save(self._sets(docs, able.select(F.col("i").alias("id"), F.col("c").alias("cls"))), "sets")
+
+        sizes = work.save(near.groupBy(F.col("band").alias("sband"), F.col("h").alias("sh")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "sizes")
+        near = near.join(sizes, (F.col("band") == F.col("sband")) & (F.col("h") == F.col("sh"))).drop("sband", "sh")
+        near = work.save(near, "sized")
+        middle = work.save(near.groupBy(F.col("rep").alias("r"), F.col("cls").alias("c")).agg(F.sum("m").alias("central")), "middle")
+        near = work.save(near.join(middle, (F.col("rep") == F.col("r")) & (F.col("cls") == F.col("c"))).drop("r", "c", "m"), "ranked")
+        centers = near.groupBy(F.col("band").alias("cband"), F.col("h").alias("ch")).agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "cls", "n", "k")).alias("c"))
+        centers = work.save(centers.select("cband", "ch", (-F.col("c.rep")).alias("crep"), F.col("c.cls").alias("ccls"), F.col("c.n").alias("ny"), F.col("c.k").alias("ky")), "centers")
+        stars = near.withColumnsRenamed({"n": "nx", "k": "kx"}).join(centers, (F.col("band") == F.col("cband")) & (F.col("h") == F.col("ch")))
+        pairs = stars.filter((F.col("cls") != F.col("ccls")) & self._possible("x", "y")).select(F.col("crep").alias("a"), F.col("ccls").alias("ca"), F.col("rep").alias("b"), F.col("cls").alias("cb")).distinct()
+        links = self._confirmed(work, sets, pairs, "first")
         found = work.save(star_components(work, links, "one"), "found")
+        work.drop("near", "sizes", "sized", "middle", "centers")
 
         label = found.select(F.col("node").alias("r"), "component")
-        placed = shared.join(label, F.col("rep") == F.col("r"), "left").select("rep", "cls", "n", "band", "h", F.coalesce("component", "rep").alias("comp"))
+        placed = near.join(label, F.col("rep") == F.col("r"), "left").select("rep", "cls", "n", "k", "band", "h", F.coalesce("component", "rep").alias("comp"))
         placed = work.save(placed, "placed")
-        work.drop("shared", "centers")
         parts = placed.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("m"))
-        mixed = parts.groupBy("band", "h").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        mixed = parts.groupBy("band", "h").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         mixed = work.save(mixed.select(F.col("band").alias("mband"), F.col("h").alias("mh"), F.col("most.comp").alias("main")), "mixed")
         rest = placed.join(mixed, (F.col("band") == F.col("mband")) & (F.col("h") == F.col("mh"))).drop("mband", "mh")
         rest = work.save(rest, "rest")
-        x = rest.filter("comp <> main").select("band", "h", F.col("rep").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("comp").alias("pa"))
-        y = rest.select("band", "h", F.col("rep").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("comp").alias("pb"), (F.col("comp") == F.col("main")).alias("main"))
-        more = x.join(y, ["band", "h"]).filter((F.col("pa") != F.col("pb")) & (F.col("main") | (F.col("a") < F.col("b"))) & sizes("na", "nb"))
-        more = more.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("cb")).otherwise(F.col("ca")).alias("cb"))
-        late = self._confirmed(work, docs, reps, more.distinct(), "late")
+        x = rest.filter("comp <> main").select("band", "h", F.col("rep").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("nx"), F.col("k").alias("kx"), F.col("comp").alias("px"))
+        y = rest.select("band", "h", F.col("rep").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("ny"), F.col("k").alias("ky"), F.col("comp").alias("py"), (F.col("comp") == F.col("main")).alias("main"))
+        more = x.join(y, ["band", "h"]).filter((F.col("px") != F.col("py")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._possible("x", "y"))
+        swap = lambda one, two: F.when(F.col("a") < F.col("b"), F.col(one)).otherwise(F.col(two))
+        more = more.select(swap("a", "b").alias("a"), swap("ca", "cb").alias("ca"), swap("b", "a").alias("b"), swap("cb", "ca").alias("cb"))
+        late = self._confirmed(work, sets, more.distinct(), "late")
         if not late.isEmpty():
             found = work.save(star_components(work, links.unionByName(late), "two"), "all")
-        work.drop("placed", "mixed", "rest")
+        work.drop("ranked", "placed", "mixed", "rest", "sets")
 
         label = found.select(F.col("node").alias("r"), "component")
         classes = reps.join(label, F.col("rep") == F.col("r"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("component"))

@@ -31,16 +31,21 @@ from pyspark.sql import functions as F
 from .common import Workspace, small_batches
 
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 _caches: dict[str, dict[bytes, bytes]] = {}
 
 
 #: Words that the normalizer and pre-tokenizer of a byte-level, lower-casing tokenizer split in an evident way.
-_PLAIN = re.compile(r"^([A-Za-z]+)([.,!?;:]*)$", re.ASCII)
+_PLAIN = re.compile("^([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)$")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)}
 
 
-def _model_bytes(tokenizer, word: str) -> bytes:
-    return np.array([x.id for x in tokenizer.model.tokenize(word)], "<u4").tobytes()
+def _model_bytes(tokenizer, word: bytes) -> bytes:
+    if not word:
+        return b""
+    return np.array([x.id for x in tokenizer.model.tokenize("".join(_BYTES[b] for b in word))], "<u4").tobytes()
 
 
 def token_bytes(texts: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> list[bytes]:
@@ -48,7 +53,7 @@ def token_bytes(texts: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> lis
 
     For tokenizers that drop white space: then a text's ids are those of its parts between ASCII
     white space, one after another, and equal parts are encoded once, many in one call;
-    the tokens' offsets tell the parts apart.  ASCII letters with marks after them go to the model at
+    the tokens' offsets tell the parts apart.  Latin letters with marks after them go to the model at
     once, which takes a third of the time.
     """
     split = [t.split() for t in texts]
@@ -60,8 +65,11 @@ def token_bytes(texts: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> lis
         todo = []
         for w in (w.decode() for w in new):
             if plain := _PLAIN.match(w):
-                letters, marks = plain[1].lower(), plain[2]
-                cache[w.encode()] = _model_bytes(tokenizer, letters) + (_model_bytes(tokenizer, marks) if marks else b"")
+                letters, marks = plain[1].lower().encode(), plain[2].encode()
+                for part in (letters, marks):
+                    if part not in cache:
+                        cache[part] = _model_bytes(tokenizer, part)
+                cache[w.encode()] = cache[letters] + cache[marks]
             else:
                 todo.append(w)
         for i in range(0, len(todo), 4096):
@@ -224,8 +232,10 @@ def pack(parts: DataFrame, *, capacity: int = 2048, order: tuple[str, ...] = ("d
     spark = parts.sparkSession
     small_batches(spark, 10_000)
     work = Workspace(spark, "pack")
+    parts = work.save(parts, "given")  # range partitioning reads its input twice
     ranged = parts.repartitionByRange("length", *order).withColumn("part", F.spark_partition_id())
     rows = work.save(ranged, "parts")
+    work.drop("given")
     sums = work.save(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "sums")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sums.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
