@@ -11,9 +11,11 @@
 3. Each class is compared with the most central member of its bucket, the one with the largest buckets:
    pairs in proportion to the members, never all pairs.  Pairs are confirmed on the full sets.
 4. Components of the confirmed links by alternating large-star and small-star.
-5. No link is lost: in a bucket that still holds several components, every member outside
-   its largest component is compared with every member of another component that the bound
-   of step 2 leaves, and step 4 runs over all links again.
+5. No link is lost: in buckets that still hold several components, the members' shingles are told apart by
+   how many members have them.  Members that share a rare shingle (at most ``rare`` have it) meet through
+   it.  Pairs that share none must share common shingles only, whose number bounds their similarity; a
+   member outside its bucket's largest component is compared with the members of other components that this
+   bound leaves.  Step 4 then runs over all links again.
 
 Bands are sized so that a pair at the threshold shares none with a probability below ``miss``.
 Hot keys: buckets and classes are found by partial aggregation; joins on them are between
@@ -41,12 +43,22 @@ from .common import Workspace, small_batches
 from .stars import star_components
 
 
+_DEALT = "part long, cls array<binary>, counts array<long>, own array<long>"
+
+
+def _flat(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Class names, how many shingles each has, the shingles: of rows that ``_deal`` has made."""
+    table = table.combine_chunks()
+    cls, counts, values = (table[c].combine_chunks().flatten() for c in ("cls", "counts", "own"))
+    return cls, counts.to_numpy(), values.to_numpy()
+
+
 class MinHash:
-    def __init__(self, *, shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 2e-6, seed: int = 11, text: str = "text", id_col: str = "doc_id", broadcast_ids: int = 200_000) -> None:
+    def __init__(self, *, shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 2e-6, seed: int = 11, text: str = "text", id_col: str = "doc_id", broadcast_ids: int = 200_000, rare: int = 32) -> None:
         """Texts are linked if 100 * |intersection| >= percent * |union| of their sets of ``shingle``-word shingles."""
         self.k, self.percent, self.rows = shingle, percent, rows
         self.bands = math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
-        self.text, self.id_col, self.seed, self.broadcast_ids = text, id_col, seed, broadcast_ids
+        self.text, self.id_col, self.seed, self.broadcast_ids, self.rare = text, id_col, seed, broadcast_ids, rare
 
     def signatures(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, cls (digest of the set, null if empty), bands."""
@@ -112,50 +124,81 @@ class MinHash:
 
         return self._texts(docs, ids).mapInArrow(task, "id long, cls binary, own array<long>").dropDuplicates(["id", "cls"])
 
+    @staticmethod
+    def _deal(owned: Iterator[tuple[bytes, np.ndarray]], parts: int) -> pa.RecordBatch:
+        """The classes' shingles, dealt out by ranges of their hash: a row for each range."""
+        names, sets = zip(*owned, strict=True) if (owned := list(owned)) else ((), (np.zeros(0, np.uint64),))
+        values, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        part = (((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        values, doc, part = values[order].view(np.int64), doc[order], part[order]
+        out: tuple[list, ...] = ([], [], [], [])
+        for p in np.unique(part):
+            a, b = np.searchsorted(part, [p, p + 1])
+            own, counts = np.unique(doc[a:b], return_counts=True)
+            for column, value in zip(out, (int(p), [names[i] for i in own], counts, values[a:b]), strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["part", "cls", "counts", "own"])
+
     def _alone(self, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame:
         """cls, alone: how many of its shingles no other of the given classes has.  total: of all their shingles.
 
-        Shingles are dealt out by ranges of their hash, about a million to a range, 8 bytes each.
+        About a million shingles go to a range, 8 bytes each.
         """
         parts = max(1, total // 1_000_000)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, sets = [], []
-                for i, u in self._own(batch):
-                    rows.append(i)
-                    sets.append(u)
-                if not sets:
-                    continue
-                values, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                part = (((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                values, doc, part = values[order].view(np.int64), doc[order], part[order]
-                out: tuple[list, ...] = ([], [], [], [])
-                for p in np.unique(part):
-                    a, b = np.searchsorted(part, [p, p + 1])
-                    own, counts = np.unique(doc[a:b], return_counts=True)
-                    for column, value in zip(out, (int(p), [batch.column(2)[rows[i]].as_py() for i in own], counts, values[a:b]), strict=True):
-                        column.append(value)
-                kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["part", "cls", "counts", "own"])
+                yield self._deal(((batch.column(2)[i].as_py(), u) for i, u in self._own(batch)), parts)
 
         def count(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks()
-            cls, counts, values = (table[c].combine_chunks().flatten() for c in ("cls", "counts", "own"))
-            counts, values = counts.to_numpy(), values.to_numpy()
+            cls, counts, values = _flat(table)
             _, at, times = np.unique(values, return_inverse=True, return_counts=True)
             single = np.concatenate([[0], np.cumsum(times[at] == 1)])
             ends = np.cumsum(counts)
             return pa.table({"cls": cls, "alone": pa.array(single[ends] - single[ends - counts], pa.int64())})
 
-        dealt = self._texts(docs, ids).mapInArrow(deal, "part long, cls array<binary>, counts array<long>, own array<long>")
+        dealt = self._texts(docs, ids).mapInArrow(deal, _DEALT)
         each = dealt.groupBy("part").applyInArrow(count, "cls binary, alone long")
         return each.groupBy("cls").agg(F.sum("alone").alias("alone"))
 
-    def _possible(self, x: str, y: str) -> Column:
-        """Whether rows with sizes n{x}, n{y} and at most k{x}, k{y} shingles to share may be linked."""
-        most = F.least(f"k{x}", f"k{y}")
+    def _rare(self, sets: DataFrame, total: int) -> DataFrame:
+        """Of the given classes' shingles that at most ``rare`` of them have: a row (a, null, number) for each class, a row (a, b, number shared) for each two classes."""
+        parts, most = max(1, total // 250_000), self.rare
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = ((batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy().view(np.uint64)) for i in range(batch.num_rows))
+                yield self._deal(own, parts)
+
+        def count(table: pa.Table) -> pa.Table:
+            cls, counts, values = _flat(table)
+            names, code = np.unique(np.array(cls.to_pylist(), object), return_inverse=True)
+            doc = np.repeat(code, counts)
+            order = np.argsort(values, kind="stable")
+            values, doc = values[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(values)))
+            few = np.bincount(doc[np.repeat(times <= most, times)], minlength=len(names))
+            met = [np.zeros(0, np.int64)]
+            for n in range(2, most + 1):
+                own = np.sort(doc[first[times == n][:, None] + np.arange(n)], axis=1)
+                x, y = np.triu_indices(n, 1)
+                met.append((own[:, x] * len(names) + own[:, y]).ravel())
+            pairs, shared = np.unique(np.concatenate(met), return_counts=True)
+            a, b = np.concatenate([np.arange(len(names)), pairs // max(1, len(names))]), pairs % max(1, len(names))
+            binary = pa.array(names.tolist(), pa.binary())
+            others = pa.concat_arrays([pa.nulls(len(names), pa.binary()), binary.take(pa.array(b))])
+            return pa.table({"a": binary.take(pa.array(a)), "b": others, "number": pa.array(np.concatenate([few, shared]), pa.int64())})
+
+        dealt = sets.select("cls", "own").mapInArrow(deal, _DEALT)
+        each = dealt.groupBy("part").applyInArrow(count, "a binary, b binary, number long")
+        return each.groupBy("a", "b").agg(F.sum("number").alias("number"))
+
+    def _possible(self, x: str, y: str, more: Column | int = 0) -> Column:
+        """Whether rows with sizes n{x}, n{y} and at most k{x}, k{y} shingles to share, and ``more``, may be linked."""
+        most = F.least(f"k{x}", f"k{y}") + more
         return 100 * most >= self.percent * (F.col(f"n{x}") + F.col(f"n{y}") - most)
 
     def _confirmed(self, work: Workspace, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -209,15 +252,32 @@ class MinHash:
         mixed = work.save(mixed.select(F.col("band").alias("mband"), F.col("h").alias("mh"), F.col("most.comp").alias("main")), "mixed")
         rest = placed.join(mixed, (F.col("band") == F.col("mband")) & (F.col("h") == F.col("mh"))).drop("mband", "mh")
         rest = work.save(rest, "rest")
-        x = rest.filter("comp <> main").select("band", "h", F.col("rep").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("nx"), F.col("k").alias("kx"), F.col("comp").alias("px"))
-        y = rest.select("band", "h", F.col("rep").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("ny"), F.col("k").alias("ky"), F.col("comp").alias("py"), (F.col("comp") == F.col("main")).alias("main"))
-        more = x.join(y, ["band", "h"]).filter((F.col("px") != F.col("py")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._possible("x", "y"))
+        asked = work.save(rest.select("rep", "cls", "n", "comp").distinct(), "mixed_classes")
+        total = asked.agg(F.sum("n")).first()[0] or 0
+        own = sets.join(asked.select(F.col("rep").alias("i"), F.col("cls").alias("c")), (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c")))
+        rare = work.save(self._rare(own, total), "rare")
+        asked = asked.join(rare.filter("b is null").select(F.col("a").alias("c"), "number"), F.col("cls") == F.col("c"))
+        asked = work.save(asked.select("rep", "cls", "n", "comp", (F.col("n") - F.col("number")).alias("k")), "common")
+        x, y = (asked.select(F.col("rep").alias(a), F.col("cls").alias(c), F.col("n").alias(f"n{s}"), F.col("k").alias(f"k{s}"), F.col("comp").alias(f"p{s}")) for a, c, s in (("a", "ca", "x"), ("b", "cb", "y")))
+        met = rare.filter("b is not null").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "number").join(x, "ca").join(y, "cb")
+        met = met.filter((F.col("px") != F.col("py")) & self._possible("x", "y", F.col("number"))).select("a", "ca", "b", "cb")
+
+        could = asked.filter(100 * F.col("k") >= self.percent * F.col("n")).select(F.col("rep").alias("i"), F.col("cls").alias("c"), F.col("k").alias("common"))
+        rest = rest.join(could, (F.col("rep") == F.col("i")) & (F.col("cls") == F.col("c"))).drop("i", "c")
+        rest = rest.join(reps.select(F.col("rep").alias("i"), F.col("cls").alias("c"), "bands"), (F.col("rep") == F.col("i")) & (F.col("cls") == F.col("c"))).drop("i", "c")
+        rest = work.save(rest, "could")
+        x = rest.filter("comp <> main").select("band", "h", F.col("rep").alias("a"), F.col("cls").alias("ca"), F.col("n").alias("nx"), F.col("common").alias("kx"), F.col("comp").alias("px"), F.col("bands").alias("bx"))
+        y = rest.select("band", "h", F.col("rep").alias("b"), F.col("cls").alias("cb"), F.col("n").alias("ny"), F.col("common").alias("ky"), F.col("comp").alias("py"), (F.col("comp") == F.col("main")).alias("main"), F.col("bands").alias("by"))
+        # each two once: in the first bucket that they share
+        before = F.expr("band = 0 or forall(sequence(0, band - 1), i -> bx[i] <> by[i])")
+        more = x.join(y, ["band", "h"]).filter((F.col("px") != F.col("py")) & (F.col("main") | (F.col("a") < F.col("b"))) & self._possible("x", "y") & before)
+        more = more.select("a", "ca", "b", "cb").unionByName(met)
         swap = lambda one, two: F.when(F.col("a") < F.col("b"), F.col(one)).otherwise(F.col(two))
         more = more.select(swap("a", "b").alias("a"), swap("ca", "cb").alias("ca"), swap("b", "a").alias("b"), swap("cb", "ca").alias("cb"))
         late = self._confirmed(work, sets, more.distinct(), "late")
         if not late.isEmpty():
             found = work.save(star_components(work, links.unionByName(late), "two"), "all")
-        work.drop("ranked", "placed", "mixed", "rest", "sets")
+        work.drop("ranked", "placed", "mixed", "rest", "sets", "mixed_classes", "rare", "common", "could")
 
         label = found.select(F.col("node").alias("r"), "component")
         classes = reps.join(label, F.col("rep") == F.col("r"), "left").select(F.col("cls").alias("c"), F.coalesce("component", "rep").alias("component"))
