@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.analyzer import BIGRAM, RULES_VERSION, analyze, units
 from .functions.snippets import excerpt, highlight
 from .operators.build import build_index
-from .operators.evaluate import evaluate
+from .operators.evaluate import evaluate, small
 from .operators.spelling import corrections, lookup, with_prefix
 from .operators.storage import FORMAT, Files, IndexFormatError
 from .plans.parser import parse, truncate
@@ -19,6 +19,8 @@ from .plans.planner import MAX_EXPANSIONS, Lookups, correct, correctable, joined
 
 __all__ = ["Index", "IndexFormatError", "build_index", "open_index"]
 TABLES = ("meta", "documents", "doc_stats", "postings", "dictionary", "lexicon", "lexicon_bigrams")
+#: Hits whose documents are looked up by a pushed-down filter.
+FETCHED = 1000
 _MARKED = "struct<text:string,highlights:array<struct<start:int,end:int>>>"
 
 
@@ -105,12 +107,19 @@ class Index:
             texts.append((query_id, raw, rewrite(raw, fixed)))
         hits, totals = evaluate(self.spark, self.postings, self.dictionary, rows, [(q[0], q[2], q[3]) for q in full], self.info["documents"], self.info["average"], self.info["title_boost"])
         results = self.spark.createDataFrame(texts, "query_id int, query string, corrected_query string").join(totals, "query_id")
-        return (self._presented(hits, terms) if snippets else hits), results
+        return (self._presented(hits, terms, sum(q[3] for q in full)) if snippets else hits), results
 
-    def _presented(self, hits: DataFrame, terms: dict[int, list[str]]) -> DataFrame:
-        """hits with stored fields and highlights; only the pages' documents are fetched."""
-        stemming = self.stemming
-        docs = self.documents.join(F.broadcast(hits), "doc_id").select("query_id", "rank", "doc_id", "url", "score", "matched", "title", "body")
+    def _presented(self, hits: DataFrame, terms: dict[int, list[str]], most: int) -> DataFrame:
+        """hits, at most ``most``, with stored fields and highlights; only the pages' documents are fetched.
+
+        The ids of a few pages are collected, so that they reach the scan of the documents as a filter.
+        """
+        stemming, documents = self.stemming, self.documents
+        if most <= FETCHED:
+            rows = hits.collect()
+            hits = self.spark.createDataFrame(rows, hits.schema)
+            documents = documents.filter(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows})))
+        docs = documents.join(small(hits, most), "doc_id").select("query_id", "rank", "doc_id", "url", "score", "matched", "title", "body")
 
         def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mark = lambda x: {"text": x[0], "highlights": [{"start": a, "end": b} for a, b in x[1]]}
@@ -143,7 +152,7 @@ class Index:
         for h in found["hits"]:
             h["score"] = round(h["score"], 3)
         out = json.dumps({**found, "page": page, "size": size}, ensure_ascii=False)
-        for c in ("<", ">", "&", " ", " "):
+        for c in ("<", ">", "&", "\u2028", "\u2029"):
             out = out.replace(c, f"\\u{ord(c):04x}")
         return out
 

@@ -21,9 +21,11 @@ FIELD_GAP = 16
 APOSTROPHES = "'’ʼ"
 BIGRAM = frozenset(("CJK", "SOUTHEAST_ASIAN"))
 _JOINS_DIGITS = frozenset(("LATIN", "CYRILLIC", "GREEK"))
-_SCRIPTS = [(name, regex.compile(f"[{''.join(rf'\p{{Script={s}}}' for s in scripts.split())}]")) for name, scripts in (
-    ("LATIN", "Latin"), ("ARABIC", "Arabic"), ("CYRILLIC", "Cyrillic"), ("GREEK", "Greek"), ("HEBREW", "Hebrew"), ("HANGUL", "Hangul"),
-    ("CJK", "Han Hiragana Katakana Bopomofo"), ("SOUTHEAST_ASIAN", "Thai Lao Khmer Myanmar"), ("", "Common Inherited"))]
+#: Script groups and the Unicode scripts in each.
+SCRIPTS = {
+    "LATIN": "Latin", "ARABIC": "Arabic", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "HEBREW": "Hebrew", "HANGUL": "Hangul",
+    "CJK": "Han Hiragana Katakana Bopomofo", "SOUTHEAST_ASIAN": "Thai Lao Khmer Myanmar",
+}
 #: Texts of these characters take a regular expression instead of the state machine.
 _SIMPLE = re.compile("[\x00-\xb4\xb6-ɏ–—‘’“”…]*")
 _LETTER = "A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -43,15 +45,6 @@ class Token(NamedTuple):
     stopword: bool
 
 
-@lru_cache(65536)
-def script_of(c: str) -> str | None:
-    """The script group of a letter; None for Common and Inherited."""
-    for name, pattern in _SCRIPTS:
-        if pattern.match(c):
-            return name or None
-    return "OTHER"
-
-
 @lru_cache(65536)
 def _kind(c: str) -> str:
     category = unicodedata.category(c)
@@ -120,45 +113,42 @@ def normalize(script: str, raw: str) -> str:
     return fold_generic(raw)
 
 
+def _word_pattern() -> str:
+    """One alternative for each script group, named after it.
+
+    A run begins with a letter of its script (or a digit) and goes on over its letters, marks and letters
+    common to all scripts; digits join Latin, Cyrillic and Greek runs on either side, apostrophes
+    stand inside Latin ones, joiners inside Arabic and unlisted ones.
+    """
+    listed = {name: "".join(rf"\p{{Script={x}}}" for x in scripts.split()) for name, scripts in SCRIPTS.items()}
+    common = r"[\p{L}&&[\p{Script=Common}\p{Script=Inherited}]]"
+    joiner = rf"[{ZWNJ}{ZWJ}]+"
+    out = []
+    for name, scripts in listed.items():
+        letter = rf"[\p{{L}}&&[{scripts}]]"
+        inside = rf"{letter}|{common}|\p{{M}}"
+        start = letter
+        if name in _JOINS_DIGITS:
+            start, inside = rf"(?:\p{{Nd}}(?:\p{{Nd}}|\p{{M}}|{common})*+)?{letter}", inside + r"|\p{Nd}"
+        if name == "LATIN":
+            inside += rf"|[{APOSTROPHES}](?={letter})"
+        if name == "ARABIC":
+            inside += rf"|{joiner}(?={inside})"
+        out.append(rf"(?P<{name}>{start}(?:{inside})*+)")
+    out.append(rf"(?P<DIGIT>\p{{Nd}}(?:\p{{Nd}}|\p{{M}}|{common})*+)")
+    unlisted = rf"[\p{{L}}--[{''.join(listed.values())}]]"
+    out.append(rf"(?P<OTHER>{unlisted}(?:{unlisted}|\p{{M}}|{joiner}(?={unlisted}|\p{{M}}))*+)")
+    return "|".join(out)
+
+
+_WORD = regex.compile(_word_pattern(), regex.V1)
+
+
 def segment(text: str) -> list[tuple[int, int, str]]:
     """Start, end and script of each word; a word never mixes scripts."""
     if _SIMPLE.fullmatch(text):
         return [(m.start(), m.end(), "LATIN" if m[1] is not None else "DIGIT") for m in _SIMPLE_WORD.finditer(text)]
-    out: list[tuple[int, int, str]] = []
-    script: str | None = None
-    start = end = 0
-
-    def close() -> None:
-        if script is not None:
-            out.append((start, end, script))
-
-    for i, c in enumerate(text):
-        kind = _kind(c)
-        if kind == "L":
-            own = script_of(c)
-            if script is not None and (own is None or own == script or (script == "DIGIT" and own in _JOINS_DIGITS)):
-                script = own if script == "DIGIT" and own is not None else script
-            else:
-                close()
-                script, start = own or "OTHER", i
-            end = i + 1
-        elif kind == "D":
-            if script != "DIGIT" and script not in _JOINS_DIGITS:
-                close()
-                script, start = "DIGIT", i
-            end = i + 1
-        elif kind == "M":
-            if script is not None:
-                end = i + 1
-        elif c in (ZWNJ, ZWJ):
-            if script not in ("ARABIC", "OTHER"):
-                close()
-                script = None
-        elif not (c in APOSTROPHES and script == "LATIN" and i + 1 < len(text) and script_of(text[i + 1]) == "LATIN"):
-            close()
-            script = None
-    close()
-    return out
+    return [(m.start(), m.end(), m.lastgroup) for m in _WORD.finditer(text)]
 
 
 def _merged(text: str, words: list[list]) -> list[list]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from .analyzer import Token, analyze, units, utf16
 
 LENGTH, SCANNED, ANCHORS = 240, 200_000, 256
 ELLIPSIS = "…"
+_BLANK, _LAST_BLANK = re.compile(r"\s"), re.compile(r"\s\S*$")
 
 
 def matches(text: str, terms: set[str], stemming: bool) -> list[Token]:
@@ -29,53 +33,38 @@ def highlight(text: str | None, terms: set[str], stemming: bool = True) -> tuple
     return text, _ranges(text, [(t.start, t.end) for t in matches(text, terms, stemming)])
 
 
-def _anchor(found: list[Token], length: int) -> Token:
-    best, most = found[0], 0
+def _focus(found: list[Token], length: int) -> Token:
+    """The match whose window, which begins a quarter of its length before it, holds most distinct terms."""
     some = found[:ANCHORS]
-    for i, t in enumerate(some):
-        stop = max(0, t.start - length // 4) + length
-        covered = set()
-        for x in some[i:]:
-            if x.end > stop:
-                break
-            covered.add(x.term)
-        if len(covered) > most:
-            best, most = t, len(covered)
-    return best
-
-
-def _forward(text: str, at: int, limit: int) -> int:
-    return next((i for i in range(at, limit) if text[i - 1].isspace()), at)
-
-
-def _back(text: str, at: int, limit: int) -> int:
-    return next((i for i in range(at, limit, -1) if text[i].isspace()), at)
+    ends, terms = [t.end for t in some], [t.term for t in some]
+    reach = [bisect_right(ends, max(0, t.start - length // 4) + length) for t in some]
+    return some[max(range(len(some)), key=lambda i: len(set(terms[i : reach[i]])))]
+
+
+def _window(text: str, found: list[Token], length: int) -> tuple[int, int]:
+    """Where to cut a text that is longer than ``length``: at blanks, if there are any near."""
+    start, least = 0, length * 2 // 3
+    if found:
+        focus = _focus(found, length)
+        start = min(max(0, focus.start - length // 4), max(0, len(text) - length))
+        end, least = min(len(text), start + length), focus.end
+        if start and (blank := _BLANK.search(text, start - 1, focus.start - 1)):
+            start = blank.end()
+    else:
+        end = min(length, len(text) - 1)
+    if end < len(text) and (blank := _LAST_BLANK.search(text[least + 1 : end + 1])):
+        end = least + 1 + blank.start()
+    return start, end
 
 
 def excerpt(text: str | None, terms: set[str], stemming: bool = True, length: int = LENGTH) -> tuple[str, list[tuple[int, int]]]:
     """About ``length`` characters around the place with most distinct terms, cut at blanks."""
-    if not text:
-        return "", []
+    text = text or ""
     found = matches(text, terms, stemming)
-    n = len(text)
-    if units(text) <= length:
-        start, end = 0, n
-    elif not found:
-        start, end = 0, _back(text, min(length, n - 1), length * 2 // 3)
-    else:
-        anchor = _anchor(found, length)
-        start = max(0, anchor.start - length // 4)
-        end = min(n, start + length)
-        if end == n:
-            start = max(0, n - length)
-        if start > 0:
-            start = _forward(text, start, anchor.start)
-        if end < n:
-            end = _back(text, end, anchor.end)
-    while start < end and text[start].isspace():
-        start += 1
-    while end > start and text[end - 1].isspace():
-        end -= 1
-    out = (ELLIPSIS if start > 0 else "") + text[start:end] + (ELLIPSIS if end < n else "")
-    shift = (1 if start > 0 else 0) - start
-    return out, _ranges(out, [(t.start + shift, t.end + shift) for t in found if t.start >= start and t.end <= end])
+    start, end = (0, len(text)) if units(text) <= length else _window(text, found, length)
+    start += len(text[start:end]) - len(text[start:end].lstrip())
+    body = text[start:end].strip()
+    end = start + len(body)
+    before = ELLIPSIS if start else ""
+    out = before + body + (ELLIPSIS if end < len(text) else "")
+    return out, _ranges(out, [(t.start - start + len(before), t.end - start + len(before)) for t in found if start <= t.start and t.end <= end])

@@ -1,25 +1,40 @@
-"""Word lists of the analyzer, in normalized form, sorted."""
-
-STOP_LATIN = frozenset(sorted("""
-yours your you would with will why whom who while which where when what were we was very up until under too to through those this they these there
-then them their theirs the that than such some so should she same own over out ours our other or only once on off of not nor no my most more me
-just its it is into in if i how his him hers here her he having have has had from further for few each during down dont doing does do did could can
-by but both between below being been before because be at as are any and an am also all against again after above about a
-uns nao uma um em dos os della gli che di sich im auf zu von mit nicht einer eine ein ist und dem den das der sus su al lo se para con por una es y
-del las los el par avec ils vous nous elle il cette ce aux au pas sur qui que pour dans est une un et du des les la le da
-""".split())) - {"uns"}
+"""Word lists of the analyzer, in normalized form (lower case, folded)."""
+
+# Results depend on exactly these words, affixes and letters.
+
+STOP_LATIN = frozenset("""
+a about above after again against all also am an and any are as at be because been before being below between both but by
+can could did do does doing dont down during each few for from further had has have having he her here hers him his how i
+if in into is it its just me more most my no nor not of off on once only or other our ours out over own same she
+should so some such than that the their theirs them then there these they this those through to too under until up very was
+we were what when where which while who whom why will with would you your yours
+le la les des du et un une est dans pour que qui sur pas au aux ce cette il elle nous vous ils avec par
+el los las del y es una por con para se lo al su sus
+der das den dem des und ist ein eine einer nicht mit von zu auf im sich
+di che gli della os da dos em um uma nao
+""".split())
+
 STOP_ARABIC = frozenset("""
-هی هو مع کان لا الذی التی هذه هذا ان عن الی علی فی اینها آنان تو من ایشان شما هیچ آنکه اینکه ای میکند میشود کردن کرده کرد بودن شوند چون همین روی چه بین
-اگر پس ولی نه همه شود دارد کند کنند وی دیگر او بود آنها هر باید شده یا اما ما شد نیز هم بر تا خود یک آن برای است با را این که از به در و
+و در به از که این را با است برای آن یک خود تا بر هم نیز شد ما اما یا شده باید هر آنها بود او دیگر وی
+کنند کند دارد شود همه نه ولی پس اگر بین چه روی همین چون شوند بودن کرد کرده کردن میشود میکند ای اینکه آنکه هیچ
+شما ایشان من تو آنان اینها
+فی علی الی عن ان هذا هذه التی الذی لا کان مع هو هی
 """.split())
+
 STOP_CYRILLIC = frozenset("""
-были был или при для это ему из о нет еще меня от вот было мне ее только по бы за вы же у к ты да но его так она все то а как со с он что я на не во в и
+и в во не на я что он с со как а то все она так его но да ты к у же вы за бы по только ее мне было
+вот от меня еще нет о из ему это для при или был были
 """.split())
-PREFIXES = frozenset(("نمی", "می"))
-SUFFIXES = frozenset(("ترین", "هایشان", "هایتان", "هایمان", "هایش", "هایت", "هایم", "هایی", "های", "ها"))
-#: Endings after a joiner, and endings written on; longest first.
-JOINED_ENDINGS = frozenset(SUFFIXES | {"تر", "ای", "ی"})
-ATTACHED_ENDINGS = tuple(sorted(SUFFIXES - {"هایم", "هایت", "هایش"}, key=len, reverse=True))
-#: Letters that are easily taken for one another.
-CONFUSABLE = tuple("یئ اآع قغ تط سصث حه حخ دذ زذضظ رز زژ جچ بپ کگ".split())
+
+#: Detached affixes that are joined to their words.
+PREFIXES = frozenset(("می", "نمی"))
+SUFFIXES = frozenset(("ها", "های", "هایی", "هایم", "هایت", "هایش", "هایمان", "هایتان", "هایشان", "ترین"))
+
+#: Endings that the stemmer cuts after a joiner, and endings that it cuts without one.
+JOINED_ENDINGS = ("هایشان", "هایتان", "هایمان", "هایی", "هایم", "هایت", "هایش", "های", "ها", "ترین", "تر", "ای", "ی")
+ATTACHED_ENDINGS = ("هایشان", "هایتان", "هایمان", "هایی", "های", "ها", "ترین")
+
+#: Letters that are easily taken for one another, in groups.
+CONFUSABLE = ("کگ", "بپ", "جچ", "زژ", "رز", "زذضظ", "دذ", "حخ", "حه", "سصث", "تط", "قغ", "اآع", "یئ")
+
 ALTERNATIVES: dict[str, frozenset[str]] = {c: frozenset("".join(g for g in CONFUSABLE if c in g)) - {c} for c in "".join(CONFUSABLE)}

@@ -2,7 +2,8 @@
 
 Rows meet on (query, document), by one shuffle; the aggregations to alternatives, clauses
 and documents then need none.  Positions are read only for phrases and for the top hits that
-proximity re-ranks.
+proximity re-ranks.  Scores are rounded to 9 decimals, so that equal documents tie however their sums were
+ordered.  Plan rows are broadcast up to SMALL, beyond which they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -12,17 +13,23 @@ from pyspark.sql import functions as F
 
 PLAN = "query_id int, role string, clause int, alt int, slot int, slots int, term string, offset int"
 RERANK, DEEPEST = 100, 10_000
+SMALL = 200_000
 
 
-def slot_scores(postings: DataFrame, dictionary: DataFrame, plan: DataFrame, documents: int, average: float, boost: float) -> DataFrame:
+def small(rows: DataFrame, n: int) -> DataFrame:
+    """rows, of which there are n, as a side to broadcast where they are few."""
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
+def slot_scores(postings: DataFrame, dictionary: DataFrame, plan: DataFrame, documents: int, average: float, boost: float, n: int) -> DataFrame:
     """A row per (query, slot, document) with the BM25 score of the slot, and positions for phrases."""
     terms = plan.select("term").distinct()
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    slots = plan.join(dictionary.join(F.broadcast(terms), "term", "left_semi"), "term").withColumn("idf", idf).drop("df")
+    slots = plan.join(dictionary.join(small(terms, n), "term", "left_semi"), "term").withColumn("idf", idf).drop("df")
     tf = boost * F.col("title_tf") + F.col("body_tf")
     score = F.col("idf") * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(max(1e-6, average))))
     shifted = F.when(F.col("offset").isNotNull(), F.transform("positions", lambda p: p - F.col("offset")))
-    return postings.join(F.broadcast(slots), "term").withColumns({"score": score, "starts": shifted})
+    return postings.join(small(slots, n), "term").withColumns({"score": score, "starts": shifted})
 
 
 def documents_of(slots: DataFrame) -> DataFrame:
@@ -35,15 +42,15 @@ def documents_of(slots: DataFrame) -> DataFrame:
     clauses = alternatives.filter(holds).groupBy("query_id", "doc_id", "role", "clause").agg(F.max("score").alias("score"))
     out = clauses.groupBy("query_id", "doc_id").agg(
         F.count_if(F.col("role") == "req").alias("matched"), F.count_if(F.col("role") == "exc").alias("excluded"),
-        F.sum(F.when(F.col("role") == "req", F.col("score"))).alias("score"))
+        F.round(F.sum(F.when(F.col("role") == "req", F.col("score"))), 9).alias("score"))
     return out.filter((F.col("excluded") == 0) & (F.col("matched") > 0)).drop("excluded")
 
 
-def proximity(postings: DataFrame, plan: DataFrame, hits: DataFrame, clauses: int) -> DataFrame:
+def proximity(postings: DataFrame, plan: DataFrame, hits: DataFrame, clauses: int, n: int) -> DataFrame:
     """query_id, doc_id, factor: how the closeness of the clauses raises the score of a top hit."""
     first = plan.filter((F.col("role") == "req") & (F.col("slot") == 0)).select("query_id", "clause", "term").distinct()
-    wanted = hits.select("query_id", "doc_id").join(F.broadcast(first), "query_id")
-    events = postings.select("term", "doc_id", "positions").join(F.broadcast(wanted), ["term", "doc_id"])  # at most RERANK documents a query
+    wanted = hits.select("query_id", "doc_id").join(small(first, n), "query_id")
+    events = postings.select("term", "doc_id", "positions").join(small(wanted, n * RERANK), ["term", "doc_id"])  # at most RERANK documents a query
     events = events.select("query_id", "doc_id", "clause", F.explode("positions").alias("at"))
     so_far = Window.partitionBy("query_id", "doc_id").orderBy("at", "clause").rowsBetween(Window.unboundedPreceding, 0)
     last = [F.max(F.when(F.col("clause") == c, F.col("at"))).over(so_far).alias(f"c{c}") for c in range(clauses)]
@@ -71,8 +78,8 @@ def evaluate(spark: SparkSession, postings: DataFrame, dictionary: DataFrame, ro
         if r[1] == "req":
             required[r[0]] = max(required.get(r[0], 0), r[2] + 1)
     needs = spark.createDataFrame([(q, required.get(q, 0), o, n, min(DEEPEST, max(o + n, RERANK))) for q, o, n in pages], "query_id int, required int, first int, size int, depth int")
-    slots = slot_scores(some, dictionary, plan, documents, average, boost)
-    found = documents_of(slots).join(F.broadcast(needs), "query_id").withColumn("whole", F.col("matched") == F.col("required"))
+    slots = slot_scores(some, dictionary, plan, documents, average, boost, len(rows))
+    found = documents_of(slots).join(small(needs, len(pages)), "query_id").withColumn("whole", F.col("matched") == F.col("required"))
     totals = found.groupBy("query_id").agg(F.count_if("whole").alias("whole"), F.count(F.lit(1)).alias("any"))
     totals = needs.select("query_id").join(totals, "query_id", "left")
     partial = (F.coalesce("any", F.lit(0)) > 0) & (F.col("whole") == 0)
@@ -82,8 +89,8 @@ def evaluate(spark: SparkSession, postings: DataFrame, dictionary: DataFrame, ro
     best = Window.partitionBy("query_id")
     top = top.withColumn("any_whole", F.max("whole").over(best)).filter(F.col("whole") | ~F.col("any_whole"))
     if any(n >= 2 for n in required.values()):
-        near = proximity(some, plan, top.filter((F.col("rank") <= RERANK) & (F.col("required") >= 2)), max(required.values()))
-        top = top.join(near, ["query_id", "doc_id"], "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
+        near = proximity(some, plan, top.filter((F.col("rank") <= RERANK) & (F.col("required") >= 2)), max(required.values()), len(rows))
+        top = top.join(near, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("factor", F.lit(1.0)), 9))
         again = Window.partitionBy("query_id").orderBy(F.col("rank") > RERANK, F.when(F.col("rank") > RERANK, F.col("rank")), F.desc("matched"), F.desc("score"), "doc_id")
         top = top.withColumn("rank", F.row_number().over(again))
     hits = top.filter((F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("first") + F.col("size")))

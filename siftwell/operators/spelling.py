@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.distance import bigrams, confusable_variants, weighted
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
