@@ -20,8 +20,6 @@ from .storage import FORMAT, Version
 TITLE_BOOST = 3.0
 MAX_LEXICON = 2_000_000
 SPELLING_WORDS = 300_000
-_POSTING = pa.struct([("term", pa.string()), ("title_tf", pa.int32()), ("body_tf", pa.int32()), ("positions", pa.list_(pa.int32()))])
-_WORD = pa.struct([("word", pa.string()), ("display", pa.string())])
 _SPARK = "doc_id long, length double, postings array<struct<term:string,title_tf:int,body_tf:int,positions:array<int>>>, words array<struct<word:string,display:string>>"
 
 
@@ -31,30 +29,59 @@ def document_tokens(title: str, body: str, stemming: bool):
     return first, analyze(body, first[-1].position + 1 + FIELD_GAP if first else 0, stemming)
 
 
+def tokens_of(docs: DataFrame, stemming: bool = True) -> DataFrame:
+    """A row per token of docs (doc_id, title, body): doc_id, field, position, term, surface, start, end, script, stopword."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("position", pa.int32()), ("term", pa.string()), ("surface", pa.string()),
+                       ("start", pa.int32()), ("end", pa.int32()), ("script", pa.string()), ("stopword", pa.bool_())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, title, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fields = zip(("title", "body"), document_tokens((title or "").strip(), (body or "").strip(), stemming), strict=True)
+                rows = [(doc_id, name, t.position, t.term, t.surface, t.start, t.end, t.script, t.stopword) for name, tokens in fields for t in tokens]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("title").cast("string"), F.col("body").cast("string")).mapInArrow(
+        task, "doc_id long, field string, position int, term string, surface string, start int, end int, script string, stopword boolean")
+
+
 def analyzed(docs: DataFrame, stemming: bool = True, title_boost: float = TITLE_BOOST) -> DataFrame:
     """doc_id, length, postings, words for docs (doc_id, title, body)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, postings, words = [], [], []
+            lengths, term, title_tf, body_tf, positions, word, display = ([] for _ in range(7))
+            terms_to, positions_to, words_to = [0], [0], [0]
             for title, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 title, body = (title or "").strip(), (body or "").strip()
                 fields = document_tokens(title, body, stemming)
                 lengths.append(title_boost * len(fields[0]) + len(fields[1]))
-                terms: dict[str, list] = defaultdict(lambda: [0, 0, []])
+                found: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
                 seen: dict[str, str] = {}
-                for i, (text, tokens) in enumerate(zip((title, body), fields, strict=True)):
+                for text, tokens, own in zip((title, body), fields, found, strict=True):
                     for t in tokens:
-                        entry = terms[t.term]
-                        entry[i] += 1
-                        entry[2].append(t.position)
+                        own[t.term].append(t.position)
                         if t.surface not in seen and in_lexicon(t):
                             seen[t.surface] = display_form(text[t.start : t.end])
-                postings.append([{"term": k, "title_tf": a, "body_tf": b, "positions": p} for k, (a, b, p) in terms.items()])
-                words.append([{"word": k, "display": v} for k, v in seen.items()])
+                for k in {**found[0], **found[1]}:
+                    x, y = found[0].get(k, ()), found[1].get(k, ())
+                    term.append(k)
+                    title_tf.append(len(x))
+                    body_tf.append(len(y))
+                    positions += x
+                    positions += y
+                    positions_to.append(len(positions))
+                word += seen
+                display += seen.values()
+                terms_to.append(len(term))
+                words_to.append(len(word))
+            lists = lambda to, values: pa.ListArray.from_arrays(pa.array(to, pa.int32()), values)
+            columns = [pa.array(term, pa.string()), pa.array(title_tf, pa.int32()), pa.array(body_tf, pa.int32()), lists(positions_to, pa.array(positions, pa.int32()))]
+            postings = pa.StructArray.from_arrays(columns, names=["term", "title_tf", "body_tf", "positions"])
+            words = pa.StructArray.from_arrays([pa.array(word, pa.string()), pa.array(display, pa.string())], names=["word", "display"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lengths, pa.float64()), pa.array(postings, pa.list_(_POSTING)), pa.array(words, pa.list_(_WORD))],
-                names=["doc_id", "length", "postings", "words"])
+                [batch.column(0), pa.array(lengths, pa.float64()), lists(terms_to, postings), lists(words_to, words)], names=["doc_id", "length", "postings", "words"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("title").cast("string"), F.col("body").cast("string")).mapInArrow(task, _SPARK)
 
@@ -69,6 +96,12 @@ def dense_ids(docs: DataFrame, save) -> DataFrame:
     return rows.withColumn("doc_id", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "p", "before")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if their files are too few for that; larger inputs stay as they are read."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def postings_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "length", F.explode("postings").alias("p")).select("p.term", "doc_id", "p.title_tf", "p.body_tf", "length", "p.positions")
 
@@ -108,7 +141,7 @@ def build_index(docs: DataFrame, root: str, *, stemming: bool = True, title_boos
         docs = docs.select(*[c for c in docs.columns if c == "doc_id"], clean("url"), clean("title"), clean("body"))
         if "doc_id" not in docs.columns:
             docs = dense_ids(docs, lambda df: version.save(df, "_given"))
-        docs = version.save(docs.select("doc_id", "url", "title", "body"), "documents")
+        docs = version.save(spread(docs.select("doc_id", "url", "title", "body")).sortWithinPartitions("doc_id"), "documents")
         rows = version.save(analyzed(docs, stemming, title_boost), "_analyzed")
         version.save(rows.select("doc_id", "length"), "doc_stats")
         postings = version.save(postings_of(rows).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")

@@ -14,6 +14,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .html import decode, extract
 
@@ -107,6 +108,22 @@ def _json_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["url", "title", "body", "part", "bad"])
 
 
+def json_documents(lines: DataFrame) -> DataFrame:
+    """url, title, body, part, bad of lines (url: where the line is from; value: the line)."""
+    return lines.select("url", "value").mapInPandas(_json_rows, _ROWS)
+
+
+def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with the title and body of their HTML."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [extract(x) for x in f[html]]
+            yield f.assign(title=[t for t, _ in found], body=[b for _, b in found])
+
+    return pages.mapInPandas(task, StructType([*pages.schema.fields, StructField("title", StringType()), StructField("body", StringType())]))
+
+
 def _file_rows(kind: str):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -134,7 +151,7 @@ def _read(spark: SparkSession, path: str, root: str, kind: str, extension: str)
         title, body = text_fields(F.col("value"))
         return files.text(path, wholetext=True).select(name, title.alias("title"), body.alias("body"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("string").alias("bad"))
     if kind == "json":
-        return files.text(path).select(name, "value").mapInPandas(_json_rows, _ROWS)
+        return json_documents(files.text(path).select(name, "value"))
     return files.format("binaryFile").load(path).select(name, "content").mapInPandas(_file_rows(kind), _ROWS)
 
 
