@@ -72,7 +72,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col:
         parts = F.broadcast(parts)
     rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "doc_id"))
     rows = rows.withColumn("rank", rank).join(parts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    each = F.col("target") / F.col("source_size").cast("double")
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double"))
     rows = rows.withColumns({"k": (F.col("rank") + F.col("before")).cast("double"), "each": each, "u": F.expr(_OFFSET.replace("{seed}", str(seed)))})
     crossed = F.floor(F.col("u") + F.col("each") * F.col("k")) - F.floor(F.col("u") + F.col("each") * (F.col("k") - 1))
     copies = F.when(F.col("source_size") > 0, F.least(crossed, F.lit(most).cast("long"))).otherwise(F.lit(0).cast("long"))

@@ -6,7 +6,8 @@ combinations of lengths, so that every length is covered) is solved by multiplic
 length's price falls exponentially with the share of its pieces that is covered; the best combination
 at these prices is found by a knapsack dynamic program; it gets a step that covers at most ``step`` of
 any length.  Whole multiples are kept (rounding down, never beyond the pieces there are);
-the remaining pieces go to the fullest sequence that takes them, longest first (best fit).
+the remaining pieces go to the fullest sequence that takes them, longest first (best fit).  Rounding costs most
+where counts are small, so best fit alone is planned too, and the plan with fewest sequences is taken.
 
 The plan lists, for each length, runs of pieces with their sequences: its size depends on the
 capacity and the steps, not on the number of documents.  A piece's rank among those of its length comes
@@ -141,10 +142,11 @@ def knapsack(price: np.ndarray) -> np.ndarray:
     return out
 
 
-def solve(counts: np.ndarray, *, steps: int = 700, step: float = 0.25, sharpness: float = 6.0) -> list[tuple[np.ndarray, float]]:
+def solve(counts: np.ndarray, *, steps: int = 400, step: float = 0.25, sharpness: float = 6.0) -> list[tuple[np.ndarray, float]]:
     """Fractional configurations for counts (by length, 0 unused), by multiplicative weights."""
     size = np.arange(len(counts))
     some = counts > 0
+    some[-1] = False  # a piece that fills a sequence stands alone
     covered = np.zeros(len(counts))
     found: dict[bytes, list] = {}
     for _ in range(steps):
@@ -162,8 +164,17 @@ def solve(counts: np.ndarray, *, steps: int = 700, step: float = 0.25, sharpness
     return [(a, x) for a, x in found.values()]
 
 
-def plan(counts: np.ndarray, **how) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """Groups of equal sequences (lengths in order, how many), and the number of all sequences."""
+def plan(counts: np.ndarray, ways: tuple[dict, ...] = ({}, {"step": 0.1, "sharpness": 20.0})) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Groups of equal sequences (lengths in order, how many), and the number of all sequences.
+
+    The program is solved in each of the ways; of these, and of best fit alone, the plan with fewest sequences is taken.
+    """
+    made = [rounded(counts, configurations) for configurations in ([], *(solve(counts, **how) for how in ways))]
+    return min(made, key=lambda x: x[1])
+
+
+def rounded(counts: np.ndarray, configurations: list[tuple[np.ndarray, float]]) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Whole multiples of the configurations, then best fit."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     slack: list[list] = [[] for _ in range(capacity + 1)]
@@ -171,7 +182,7 @@ def plan(counts: np.ndarray, **how) -> tuple[list[tuple[tuple[int, ...], int]],
     if full:
         slack[0].append(((capacity,), full))
         left[capacity] = 0
-    for a, x in sorted(solve(left, **how), key=lambda p: -p[1]):
+    for a, x in sorted(configurations, key=lambda p: -p[1]):
         used = a > 0
         k = min(int(x + 1e-9), int((left[used] // a[used]).min()))
         if k > 0:
@@ -227,7 +238,7 @@ def placements(groups: list[tuple[tuple[int, ...], int]], capacity: int) -> tupl
     return rows[:, 0], rows[:, 1], rows[:, 2], begins
 
 
-def pack(parts: DataFrame, *, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece"), **how) -> DataFrame:
+def pack(parts: DataFrame, *, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """parts (with length, 1 to capacity) with sequence_id and offset."""
     spark = parts.sparkSession
     small_batches(spark, 10_000)
@@ -240,7 +251,7 @@ def pack(parts: DataFrame, *, capacity: int = 2048, order: tuple[str, ...] = ("d
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sums.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
         counts[length] = n
-    firsts, sequences, offsets, begins = placements(plan(counts, **how)[0], capacity)
+    firsts, sequences, offsets, begins = placements(plan(counts)[0], capacity)
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before)

@@ -186,13 +186,13 @@ def with_revisits(pages: DataFrame, work: Workspace, *, id_col: str = "page_id",
     """pages with payload_bytes, payload_digest and refers_to."""
     data = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.withColumns({"payload_bytes": F.octet_length(data).cast("long"), "payload_digest": F.sha2(data, 256)})
-    some = rows.filter(F.col("payload_bytes") >= least).groupBy(F.unhex("payload_digest").alias("d"))
-    firsts = some.agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null")
-    firsts = work.save(firsts.select("d", "first"), "firsts")
+    some = rows.filter(F.col("payload_bytes") >= least).groupBy(F.unhex("payload_digest").alias("_digest"))
+    firsts = some.agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and _first is not null")
+    firsts = work.save(firsts.select("_digest", "_first"), "firsts")
     if firsts.limit(broadcast_digests + 1).count() <= broadcast_digests:
         firsts = F.broadcast(firsts)
-    rows = rows.join(firsts, (F.unhex("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= least), "left")
-    return rows.withColumn("refers_to", F.when(F.col(id_col) != F.col("first"), F.col("first"))).drop("d", "first")
+    rows = rows.join(firsts, (F.unhex("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= least), "left")
+    return rows.withColumn("refers_to", F.when(F.col(id_col) != F.col("_first"), F.col("_first"))).drop("_digest", "_first")
 
 
 def write(rows: DataFrame, folder: str, *, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str = "2000-01-01T00:00:00Z", package_bytes: int = 32_000_000) -> DataFrame:
@@ -274,6 +274,6 @@ def read(spark: SparkSession, packages: DataFrame, *, block_records: int = 256,
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", payload: str = "html", broadcast_digests: int = 100_000, payloads: bool = False) -> DataFrame:
     """Writes packages for pages into the shared folder and reads them back."""
     work = Workspace(pages.sparkSession, "warc")
-    rows = with_revisits(pages, work, id_col=id_col, payload=payload, broadcast_digests=broadcast_digests)
+    rows = with_revisits(pages.select(id_col, url, payload), work, id_col=id_col, payload=payload, broadcast_digests=broadcast_digests)
     packages = work.save(write(rows, f"{work.root}/packages", id_col=id_col, url=url, payload=payload), "manifest")
     return read(pages.sparkSession, packages, payloads=payloads)
