@@ -21,14 +21,14 @@ def small(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= SMALL else rows
 
 
-def slot_scores(postings: DataFrame, dictionary: DataFrame, plan: DataFrame, documents: int, average: float, boost: float, n: int) -> DataFrame:
+def slot_scores(postings: DataFrame, dictionary: DataFrame, plan: DataFrame, documents: int, average: float, boost: float, n: int, phrases: bool = True) -> DataFrame:
     """A row per (query, slot, document) with the BM25 score of the slot, and positions for phrases."""
     terms = plan.select("term").distinct()
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     slots = plan.join(dictionary.join(small(terms, n), "term", "left_semi"), "term").withColumn("idf", idf).drop("df")
     tf = boost * F.col("title_tf") + F.col("body_tf")
     score = F.col("idf") * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("length") / F.lit(max(1e-6, average))))
-    shifted = F.when(F.col("offset").isNotNull(), F.transform("positions", lambda p: p - F.col("offset")))
+    shifted = F.when(F.col("offset").isNotNull(), F.transform("positions", lambda p: p - F.col("offset"))) if phrases else F.lit(None).cast("array<int>")
     return postings.join(small(slots, n), "term").withColumns({"score": score, "starts": shifted})
 
 
@@ -78,7 +78,7 @@ def evaluate(spark: SparkSession, postings: DataFrame, dictionary: DataFrame, ro
         if r[1] == "req":
             required[r[0]] = max(required.get(r[0], 0), r[2] + 1)
     needs = spark.createDataFrame([(q, required.get(q, 0), o, n, min(DEEPEST, max(o + n, RERANK))) for q, o, n in pages], "query_id int, required int, first int, size int, depth int")
-    slots = slot_scores(some, dictionary, plan, documents, average, boost, len(rows))
+    slots = slot_scores(some, dictionary, plan, documents, average, boost, len(rows), any(r[7] is not None for r in rows))
     found = documents_of(slots).join(small(needs, len(pages)), "query_id").withColumn("whole", F.col("matched") == F.col("required"))
     totals = found.groupBy("query_id").agg(F.count_if("whole").alias("whole"), F.count(F.lit(1)).alias("any"))
     totals = needs.select("query_id").join(totals, "query_id", "left")
