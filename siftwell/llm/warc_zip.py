@@ -267,7 +267,9 @@ def read(spark: SparkSession, packages: DataFrame, *, block_records: int = 256,
                         out.append({"record_id": x["id"], "url": x["target"], "record_type": x["type"], "payload_bytes": x["payload_bytes"], "payload_digest": x["digest"], "refers_to": x["refers_to"], "payload": x["payload"]})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    dealt = packages.select("path").repartition("path").mapInArrow(blocks, "path string, start long, lengths array<long>").repartition("path", "start")
+    # a number of tasks is named, as rows that only point at data look small enough for one
+    tasks = max(packages.count(), spark.sparkContext.defaultParallelism)
+    dealt = packages.select("path").repartition(tasks, "path").mapInArrow(blocks, "path string, start long, lengths array<long>").repartition(tasks, "path", "start")
     return dealt.mapInArrow(records, "record_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads)
 
 
