@@ -119,8 +119,14 @@ class LanguageModel:
         n = max(1, rows.select(label).distinct().count())
         each = max(20, self.sample // n)
         some = rows.select(F.col(self.id_col).alias("_id"), F.col(label).cast("string").alias("_lang"))
-        order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(self.seed)), "_id")
-        some = some.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).select("_id").distinct()
+        # a language may have a third of all rows: first the smallest hashes of 64 shares of it, some eight times what a
+        # share can expect to give, then the smallest of those
+        some = some.withColumn("_h", F.xxhash64("_id", F.lit(self.seed))).withColumn("_share", F.pmod("_h", F.lit(64)))
+        for by in (["_lang", "_share"], ["_lang"]):
+            order = Window.partitionBy(*by).orderBy("_h", "_id")
+            most = each if by == ["_lang"] else min(each, 64 + each // 8)
+            some = some.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+        some = some.select("_id").distinct()
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
