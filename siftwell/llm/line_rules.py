@@ -1,14 +1,14 @@
 """Quality rules from cross-document line frequency, with DataFrame and SQL functions only.
 
 Lines are normalised (lower case, white space collapsed) and hashed with
-MD5.  For each host and line the *distinct documents* that hold it are counted; documents
-whose other lines have the same smallest hash count once, so that copies and most near
-copies of one document don't make its lines look like boilerplate.  A line is frequent
+MD5.  For each host and line the *distinct documents* that hold it are counted; documents of a
+host that have exactly the same set of lines count once, so that copies of one document
+don't make its lines look like boilerplate.  Near copies count one each.  A line is frequent
 where that count exceeds both an absolute limit and a share of the host's documents.
 Frequent lines are removed; a document that loses almost all of its text is rejected.
 
 Plan: one pass over the texts computes all figures and line hashes and saves them (no
-text).  Counting shuffles hashes by (host, line, other), which spreads even a line that
+text).  Counting shuffles hashes by (host, line, digest of the line set), which spreads even a line that
 stands in every document, then partial counts by (host, line).  The frequent lines are
 broadcast, by host, if they are at most ``broadcast_lines``; else hashes are joined by
 shuffle, with adaptive splitting of hot keys.
@@ -98,8 +98,8 @@ class LineRules:
     def frequent(self, work: Workspace, figures: DataFrame) -> tuple[DataFrame, int]:
         """The frequent lines (host, line, documents), saved, and their number."""
         own = figures.select("host", F.array_sort(F.array_distinct("lines.line")).alias("own"))
-        pairs = own.select("host", F.explode("own").alias("line"), F.get("own", F.lit(0)).alias("m1"), F.get("own", F.lit(1)).alias("m2"))
-        pairs = pairs.select("host", "line", F.coalesce(F.when(F.col("line") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), "line").alias("other"))
+        digest = F.expr("unhex(md5(cast(array_join(transform(own, x -> hex(x)), '') as binary)))")
+        pairs = own.withColumn("digest", digest).select("host", F.explode("own").alias("line"), "digest")
         counts = pairs.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
         many = counts.filter(F.col("documents") > self.max_documents)
         hosts = work.save(figures.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents")).withColumnRenamed("host", "h"), "hosts")
