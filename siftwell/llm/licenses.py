@@ -1,11 +1,11 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scans: winnowed fingerprints pick candidates, local alignment confirms them.
 
 A word is a run of letters and digits, in lower case for A-Z.  The hashes of a template's k-word grams are
-winnowed (the smallest of each ``window`` in a row is kept) and go into an inverted index, gram -> (template,
-place).  The grams of whole documents are looked up in it, a batch of texts at once; as every gram of the
-document is looked up, winnowing the templates alone loses none.  Hits of a template that lie near
-one diagonal are aligned with it in a band around that diagonal; the match reports the share of
-the template's words that the alignment covers, and the span of the text.
+winnowed (the smallest of each ``window`` in a row is kept) and go into an inverted index, gram -> templates.  The grams of whole documents are looked up in it, a batch of texts at once; as every gram of the
+document is looked up, winnowing the templates alone loses none.  The text around a template's hits is aligned
+with it, without a band, and again beside each match until no hit is left; a match reports the share
+of the template's words that the alignment covers, and the span of the text.  Windows are as long as a few
+templates, so the time is linear in the text.
 
 The templates are a fixed list in the library, the only thing that tasks share.
 
@@ -16,6 +16,8 @@ stays (ties: greater coverage, then name).
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,76 +51,104 @@ def winnow(grams: np.ndarray, window: int) -> list[int]:
     return sorted({i + window - 1 - int(grams[i : i + window][::-1].argmin()) for i in range(len(grams) - window + 1)})
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Matched words, first and last matched place in text, of the best alignment within ``band`` of place = template place + diagonal.
+def align(template: np.ndarray, text: np.ndarray, need: int) -> tuple[int, int, int] | None:
+    """Matched words, first and last matched place in text, of the best alignment with ``need`` matched words; None if there is none.
 
-    A match scores 2, a gap or a difference -1; the alignment is local.
+    A match scores 2, a gap or a difference -1; the alignment is local, and of equals the first stays.
+    Score and matched words are one number, compared in this order.
     """
-    width = 2 * band + 1
-    score = np.zeros((len(template) + 1, width + 2), np.int32)
-    matched = np.zeros_like(score)
-    first = np.full_like(score, -1)
-    best = (0, 0, -1, -1)
-    for i in range(1, len(template) + 1):
-        for b in range(1, width + 1):
-            j = i - 1 + diagonal + b - 1 - band
-            if not 0 <= j < len(text):
-                continue
-            same = template[i - 1] == text[j]
-            options = [(int(score[i - 1, b]) + (2 if same else -1), int(matched[i - 1, b]) + int(same), int(first[i - 1, b])),
-                       (int(score[i - 1, b + 1]) - 1, int(matched[i - 1, b + 1]), int(first[i - 1, b + 1])),
-                       (int(score[i, b - 1]) - 1, int(matched[i, b - 1]), int(first[i, b - 1]))]
-            s, m, f = max(options, key=lambda o: (o[0], o[1]))
-            if s <= 0:
-                continue
-            score[i, b], matched[i, b] = s, m
-            first[i, b] = j if f < 0 and same else f
-            if same and (s, m) > best[:2]:
-                best = (s, m, int(first[i, b]), j)
-    return best[1], best[2], best[3]
+    unit, n = np.int64(1 << 32), len(text)
+    place = np.arange(n, dtype=np.int64)
+    slope = place * unit
+    row, first = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+    best, found = need, None
+    for word in template:
+        same = text == word
+        step = row[:-1] + np.where(same, 2 * unit + 1, -unit)
+        down = row[1:] - unit
+        own = np.where(step >= down, first[:-1], first[1:])
+        now = np.maximum(step, down)
+        own = np.where(same & (own < 0), place, own)
+        low = now < unit
+        now[low], own[low] = 0, -1
+        slid = now + slope
+        top = np.maximum.accumulate(slid)
+        source = np.maximum.accumulate(np.where(slid == top, place, 0))
+        own, now = own[source], top - slope
+        low = now < unit
+        now[low], own[low] = 0, -1
+        ends = np.flatnonzero(same & ((now & (unit - 1)) >= need) & (now > best))
+        if len(ends):
+            j = int(ends[now[ends].argmax()])
+            best, found = int(now[j]), (int(now[j] & (unit - 1)), int(own[j]), j)
+        row[1:], first[1:] = now, own
+    return found
 
 
 class LicenseScan:
-    def __init__(self, *, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, band: int = 6, coverage: float = 0.75, text: str = "text", id_col: str = "doc_id") -> None:
-        self.gram, self.window, self.band, self.coverage = gram, window, band, coverage
+    def __init__(self, *, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, coverage: float = 0.75, text: str = "text", id_col: str = "doc_id") -> None:
+        self.gram, self.window, self.coverage = gram, window, coverage
         self.text, self.id_col = text, id_col
         self.names = sorted(templates or TEMPLATES)
         self.words = [_words((templates or TEMPLATES)[n]) for n in self.names]
-        index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.kinds = [np.unique(w, return_counts=True) for w in self.words]
+        index: dict[int, set[int]] = defaultdict(set)
         for t, words in enumerate(self.words):
             grams = _grams(words, gram)
             for at in winnow(grams, window):
-                index[int(grams[at])].append((t, at))
+                index[int(grams[at])].add(t)
         self.index = dict(index)
 
+    def _found(self, t: int, words: np.ndarray, at: list[int]) -> list[tuple[int, int, int]]:
+        """First and last word and matched words of a template's matches, which don't overlap; at: the places of its hits, in order.
+
+        An alignment through a hit lies within three template lengths of it, as its score is positive throughout.
+        Hits within a template's length of each other are looked at in one window that holds all that; each match
+        is cut out, and what it leaves beside further hits is aligned again.
+        """
+        template, n = self.words[t], len(self.words[t])
+        kinds, most = self.kinds[t]
+        need, reach = max(1, math.ceil(self.coverage * n)), 3 * n + self.gram
+        spans: list[tuple[int, int, int]] = []
+        k = 0
+        while k < len(at):
+            stop = bisect_right(at, at[k] + n, k)
+            own, low, high = at[k:stop], max(0, at[k] - reach), min(len(words), at[stop - 1] + reach)
+            todo, k = [], stop
+            for x in reversed(spans[bisect_left(spans, (low - 2 * reach,)) :]):
+                if x[0] < high and x[1] >= low:
+                    todo.append((x[1] + 1, high))
+                    high = x[0]
+            todo.append((low, high))
+            while todo:
+                low, high = todo.pop()
+                if low >= high or not any(low - self.gram < j < high for j in own):
+                    continue
+                text = words[low:high]
+                spot = np.minimum(np.searchsorted(kinds, text), len(kinds) - 1)
+                if np.minimum(np.bincount(spot[kinds[spot] == text], minlength=len(kinds)), most).sum() < need:
+                    continue  # too few of the template's words
+                got = align(template, text, need)
+                if got:
+                    m, first, last = got[0], low + got[1], low + got[2]
+                    insort(spans, (first, last, m))
+                    todo += [(low, first), (last + 1, high)]
+        return spans
+
     def matches(self, words: np.ndarray, at: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
         """template, matched words, first and last word of the matches in one text; at: places of the grams that hit."""
         places = defaultdict(list)
         for j in at.tolist():
-            for t, i in self.index[int(grams[j])]:
-                places[t].append(j - i)
-        found = []
-        for t, diagonals in places.items():
-            diagonals.sort()
-            group = [diagonals[0]]
-            for d in [*diagonals[1:], None]:
-                if d is not None and d - group[-1] <= self.band:
-                    group.append(d)
-                    continue
-                middle = group[len(group) // 2]
-                low = max(0, middle - 2 * self.band)
-                own = words[low : max(0, middle + len(self.words[t]) + 2 * self.band)]
-                m, first, last = align(self.words[t], own, middle - low, self.band)
-                if m >= self.coverage * len(self.words[t]) and m > 0:
-                    found.append((t, m, low + first, low + last))
-                if d is not None:
-                    group = [d]
+            for t in self.index[int(grams[j])]:
+                places[t].append(j)
+        found = [(t, m, first, last) for t, own in places.items() for first, last, m in self._found(t, words, own)]
         found.sort(key=lambda x: (-x[1], -x[1] / len(self.words[x[0]]), self.names[x[0]]))
-        kept: list[tuple[int, int, int, int]] = []
-        for x in found:
-            if all(x[3] < y[2] or y[3] < x[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[2])
+        kept: list[tuple[int, int, int, int]] = []  # first, last, template, matched
+        for t, m, first, last in found:
+            i = bisect_left(kept, (first,))
+            if (i == 0 or kept[i - 1][1] < first) and (i == len(kept) or last < kept[i][0]):
+                kept.insert(i, (first, last, t, m))
+        return [(t, m, first, last) for first, last, t, m in kept]
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """A row per match: doc_id, license, coverage, matched_words, start, stop (code points, end exclusive)."""
@@ -138,10 +168,9 @@ class LicenseScan:
                     hits, rows = hits[whole], rows[whole]
                     for r in np.unique(rows):
                         a, b = at[r], at[r + 1]
-                        text = flat[bounds[r] : bounds[r + 1]].tobytes()
+                        points = np.cumsum(flat[bounds[r] : bounds[r + 1]] & 0xC0 != 0x80)
                         for t, m, x, y in self.matches(h[a:b], hits[rows == r] - a, grams[a:]):
-                            begin = len(text[: start[a + x] - bounds[r]].decode())
-                            stop = begin + len(text[start[a + x] - bounds[r] : end[a + y] + 1 - bounds[r]].decode())
+                            begin, stop = int(points[start[a + x] - bounds[r]]) - 1, int(points[end[a + y] - bounds[r]])
                             out.append({"doc_id": batch.column(0)[first + int(r)].as_py(), "license": self.names[t], "coverage": m / len(self.words[t]), "matched_words": m, "start": begin, "stop": stop})
                 yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 

@@ -1,3 +1,10 @@
+import re
+
+import numpy as np
+
+from siftwell.llm import hashing
+from siftwell.llm.license_texts import TEMPLATES
+from siftwell.llm.licenses import LicenseScan, _grams
 from siftwell.llm.line_rules import LineRules
 
 
@@ -11,3 +18,32 @@ def test_lines_of_different_documents_count_each(spark):
             assert r["n_removed_chars"] == sum(map(len, menu.split("\n"))) and not r["kept"]
         else:
             assert r["n_removed_chars"] == 0 and r["kept"]  # exact copies count once
+
+
+def licences_of(text):
+    scan = LicenseScan()
+    flat = np.frombuffer(text.encode(), np.uint8)
+    h = hashing.located_words(flat, np.array([0, len(flat)]), hashing.MARKS)[0]
+    grams = _grams(h, scan.gram)
+    at = np.array([j for j, g in enumerate(grams.tolist()) if g in scan.index], int)
+    return [(scan.names[t], m, a, b) for t, m, a, b in scan.matches(h, at, grams)] if len(at) else []
+
+
+def test_repeated_notices_are_matches_each():
+    lines = "\n".join(f"Copyright {1900 + i} Bar. All rights reserved." for i in range(200))
+    assert licences_of(lines) == [("All-rights-reserved", 3, 6 * i + 3, 6 * i + 5) for i in range(200)]
+    twice = f"{TEMPLATES['ISC']} {TEMPLATES['ISC']} {TEMPLATES['MIT']} {TEMPLATES['ISC']}"
+    assert [x[0] for x in licences_of(twice)] == ["ISC", "ISC", "MIT", "ISC"]
+
+
+def test_insertions_do_not_part_a_licence():
+    words = TEMPLATES["BSD-3-Clause"].split()
+    holder = " ".join(f"name{i}" for i in range(9))
+    text = " ".join(f"{w} {holder}" if i in (20, 45, 70) else w for i, w in enumerate(words))
+    got = licences_of(f"before {text} after")
+    assert [x[0] for x in got] == ["BSD-3-Clause"] and got[0][1] == len(re.findall("[A-Za-z0-9]+", TEMPLATES["BSD-3-Clause"]))
+
+
+def test_spans_count_code_points(spark):
+    docs = spark.createDataFrame([(1, "é😀 All rights reserved. é All rights reserved é")], "doc_id long, text string")
+    assert [(r["start"], r["stop"]) for r in LicenseScan().scan(docs).collect()] == [(3, 22), (26, 45)]
