@@ -1,12 +1,13 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.  DataFrame and SQL functions only.
 
 Base entities (email, ip, card, phone) are regular expressions with checks.  They are the seeds of the
-bootstrapping: the word before a seed is a lexical pattern; the other tokens with a digit or @ that
-stand after the same words are candidate instances.  Patterns and instances form a bipartite graph, scored
+bootstrapping: the word before a seed, or before an instance that a pattern has discovered, is a lexical
+pattern; the other tokens with a digit or @ that stand after the same words are candidate instances.  Patterns and instances form a bipartite graph, scored
 iteratively: a pattern's score is the sum of its instances' scores over *all* occurrences of the word in
 the corpus (so that a word like "the" scores next to nothing), an instance's the noisy-or of its
 patterns'.  Patterns at ``accept`` or more, with ``support`` distinct instances at half or more, are trusted,
-and every candidate after one becomes a span of kind ``id``.  Base spans always stay.
+and every candidate after one becomes a span of kind ``id``.  Base spans always stay.  The rounds go on until no
+instance comes in and the scores rise by no more than ``tolerance`` together.
 
 The expressions are possessive and match a failing run as a whole, so their time is linear in the
 text and they need no stack.  They run only on texts that hold an @ or a digit.
@@ -79,8 +80,8 @@ def span_string(spans: Column | str) -> Column:
 
 
 class PersonalData:
-    def __init__(self, *, text: str = "text", id_col: str = "doc_id", rounds: int = 4, accept: float = 0.8, support: int = 3, literal_patterns: int = 5_000, broadcast_words: int = 200_000) -> None:
-        self.text, self.id_col, self.rounds = text, id_col, rounds
+    def __init__(self, *, text: str = "text", id_col: str = "doc_id", tolerance: float = 1e-3, accept: float = 0.8, support: int = 3, literal_patterns: int = 5_000, broadcast_words: int = 200_000) -> None:
+        self.text, self.id_col, self.tolerance = text, id_col, tolerance
         self.accept, self.support, self.literal_patterns, self.broadcast_words = accept, support, literal_patterns, broadcast_words
 
     def _occurrences(self, docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -99,10 +100,11 @@ class PersonalData:
         """The trusted patterns: word, score, instances."""
         m = found.select(F.explode("mentions").alias("m")).select("m.word", "m.surface", "m.seed").filter("word <> ''")
         edges = work.save(m.groupBy("word", "surface").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "edges")
-        seeded = edges.groupBy("word").agg(F.sum("n").alias("identifiers"), F.max("seed").alias("any")).filter("any")
-        seeded = work.save(seeded.select("word", "identifiers"), "seeded")
-        counted = self._occurrences(docs, seeded.select("word"))
-        usable = seeded.join(counted, "word").filter(F.col("identifiers") >= self.accept * F.col("occurrences"))
+        # a word with fewer distinct instances is never trusted and lends nothing; all others may join in any round
+        able = edges.groupBy("word").agg(F.sum("n").alias("identifiers"), F.count(F.lit(1)).alias("surfaces")).filter(F.col("surfaces") >= self.support)
+        able = work.save(able.select("word", "identifiers"), "able")
+        counted = self._occurrences(docs, able.select("word"))
+        usable = able.join(counted, "word").filter(F.col("identifiers") >= self.accept * F.col("occurrences"))
         usable = work.save(usable.select(F.col("word").alias("p"), "occurrences"), "usable")
         # instances that a usable pattern has, with those patterns only
         graph = work.save(edges.join(usable, F.col("word") == F.col("p")).drop("p"), "graph")
@@ -110,21 +112,27 @@ class PersonalData:
         score = work.save(graph.select("surface").distinct().join(seeds, F.col("surface") == F.col("s"), "left").select(
             F.col("surface").alias("i"), F.when(F.col("known"), 1.0).otherwise(0.0).alias("given")), "given")
         now = score.select("i", "given", F.col("given").alias("score"))
-        for turn in range(self.rounds):
+        turn, before = 0, None
+        while True:
             joined = graph.join(now, F.col("surface") == F.col("i"))
             by = joined.groupBy("word").agg(
                 (F.sum(F.col("n") * F.col("score")) / F.first("occurrences")).alias("score"),
                 F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)).alias("instances"))
             by = work.save(by, f"patterns{turn}")
+            # scores only rise: the rounds end when they rise no more and no instance has come in
+            total = by.agg(F.sum("score"), F.sum("instances")).first()
+            if turn and (total[0] is None or total[1] == before[1] and total[0] - before[0] <= self.tolerance):
+                break
             # a pattern with too few instances lends none of its score yet
             lent = F.when(F.col("instances") >= self.support, F.least("score", F.lit(0.999))).otherwise(0.0)
             belief = graph.select("word", "surface").join(by.withColumn("lent", lent).select(F.col("word").alias("p"), "lent"), F.col("word") == F.col("p"))
             belief = belief.groupBy(F.col("surface").alias("j")).agg((1 - F.exp(F.sum(F.log1p(-F.col("lent"))))).alias("belief"))
             now = work.save(score.join(belief, F.col("i") == F.col("j"), "left").select("i", "given", F.greatest("given", F.coalesce("belief", F.lit(0.0))).alias("score")), f"instances{turn}")
             work.drop(f"instances{turn - 1}", f"patterns{turn - 1}")
+            turn, before = turn + 1, total
         trusted = by.filter((F.col("score") >= self.accept) & (F.col("instances") >= self.support))
         trusted = work.save(trusted, "trusted")
-        work.drop("edges", "seeded", "usable", "graph", "given")
+        work.drop("edges", "able", "usable", "graph", "given")
         return trusted
 
     def spans(self, docs: DataFrame, keep: bool = False) -> DataFrame:

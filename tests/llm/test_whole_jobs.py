@@ -6,6 +6,7 @@ from siftwell.llm import hashing
 from siftwell.llm.license_texts import TEMPLATES
 from siftwell.llm.licenses import LicenseScan, _grams
 from siftwell.llm.line_rules import LineRules
+from siftwell.llm.pii import PersonalData, span_string
 
 
 def test_lines_of_different_documents_count_each(spark):
@@ -47,3 +48,18 @@ def test_insertions_do_not_part_a_licence():
 def test_spans_count_code_points(spark):
     docs = spark.createDataFrame([(1, "é😀 All rights reserved. é All rights reserved é")], "doc_id long, text string")
     assert [(r["start"], r["stop"]) for r in LicenseScan().scan(docs).collect()] == [(3, 22), (26, 45)]
+
+
+def found_by(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = PersonalData(**options).spans(docs).select("doc_id", span_string("spans").alias("s")).collect()
+    return {r["doc_id"]: r["s"] for r in rows}
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    texts = [f"mailto a{i}@site.org" for i in range(5)]
+    for word, after in (("mailto", "handle"), ("handle", "nick"), ("nick", "alias"), ("alias", "login"), ("login", "user"), ("user", None)):
+        texts += [f"{word} {word}{i}[at]site" for i in range(4)] + ([f"{after} {word}{i}[at]site" for i in range(4)] if after else [])
+    got = found_by(spark, [*texts, "user zed9", "page 7", "page 8", "page 9"])
+    n = len(texts)
+    assert all(got[i] for i in range(n)) and got[n] == "id:5:9" and not any(got[n + i] for i in (1, 2, 3))
