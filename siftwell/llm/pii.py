@@ -1,9 +1,9 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.  DataFrame and SQL functions only.
 
 Base entities (email, ip, card, phone) are regular expressions with checks.  They are the seeds of the
-bootstrapping: the word before a seed, or before an instance that a pattern has discovered, is a lexical
-pattern; the other tokens with a digit or @ that stand after the same words are candidate instances.  Patterns and instances form a bipartite graph, scored
-iteratively: a pattern's score is the sum of its instances' scores over *all* occurrences of the word in
+bootstrapping: the last word, two and three words before a seed, or before an instance that a pattern has
+discovered, are lexical patterns; the other tokens with a digit or @ that stand after the same patterns are candidate instances.  Patterns and instances form a bipartite graph, scored
+iteratively: a pattern's score is the sum of its instances' scores over *all* occurrences of the pattern in
 the corpus (so that a word like "the" scores next to nothing), an instance's the noisy-or of its
 patterns'.  Patterns at ``accept`` or more, with ``support`` distinct instances at half or more, are trusted,
 and every candidate after one becomes a span of kind ``id``.  Base spans always stay.  The rounds go on until no
@@ -59,19 +59,26 @@ def _base() -> str:
 
 
 def _left(start: str) -> str:
-    """SQL for the word before a place in t, in lower case."""
-    return f"lower(regexp_extract(substring(t, int(greatest(1L, {start} - 59)), int(least({start}, 60L))), r'([^{_SPACE}]+)[{_SPACE}]*$', 1))"
+    """SQL for the patterns before a place in t: its last word, last two and last three words, in lower case.
+
+    A window with a fourth word holds the last three whole; only where none does, all that stands before is read.
+    """
+    window = lambda n: f"array_remove(split(lower(substring(t, int(greatest(1L, {start} - {n - 1})), int(least({start}, {n}L)))), r'[{_SPACE}]+'), '')"
+    whole = f"array_remove(split(lower(substring(t, 1, int({start}))), r'[{_SPACE}]+'), '')"
+    for n in (2400, 240):
+        whole = let(window(n), f"w{n}", f"if({start} <= {n} or size(w{n}) > 3, w{n}, {whole})")
+    return let(whole, "ws", "transform(sequence(1, 3), k -> if(k <= size(ws), array_join(slice(ws, -k, k), ' '), ''))")
 
 
 def _found() -> str:
-    """SQL for base, and mentions: word before, surface, whether it is a seed, the span."""
+    """SQL for base, and mentions: words before, surface, whether it is a seed, the span."""
     some = _matches(_CANDIDATE, "true", 4)
-    mention = lambda s, seed: f"named_struct('word', {_left(s + '.start')}, 'surface', lower(substring(t, int({s}.start + 1), int({s}.stop - {s}.start))), 'seed', {seed}, 'start', {s}.start, 'stop', {s}.stop)"
+    mention = lambda s, seed: f"named_struct('words', array_remove({_left(s + '.start')}, ''), 'surface', lower(substring(t, int({s}.start + 1), int({s}.stop - {s}.start))), 'seed', {seed}, 'start', {s}.start, 'stop', {s}.stop)"
     return let("coalesce(cast({text} as string), '')", "t", let("t rlike '[0-9]'", "digit", let(
         _base(), "base",
         "named_struct('base', base, 'mentions', if(digit or contains(t, '@'), concat("
         f"transform(base, s -> {mention('s', 'true')}), transform(filter({some}, c -> not exists(base, b -> b.start < c.stop and c.start < b.stop)), c -> {mention('c', 'false')})"
-        "), cast(array() as array<struct<word string, surface string, seed boolean, start bigint, stop bigint>>)))")))
+        "), cast(array() as array<struct<words array<string>, surface string, seed boolean, start bigint, stop bigint>>)))")))
 
 
 def span_string(spans: Column | str) -> Column:
@@ -85,12 +92,16 @@ class PersonalData:
         self.accept, self.support, self.literal_patterns, self.broadcast_words = accept, support, literal_patterns, broadcast_words
 
     def _occurrences(self, docs: DataFrame, words: DataFrame) -> DataFrame:
-        """word, occurrences: how often the given words stand in all texts."""
+        """word, occurrences: how often the given patterns of one to three words stand in all texts."""
         t = f"lower(coalesce(cast(`{self.text}` as string), ''))"
         for x in ("'\\t'", "'\\n'", "char(11)", "char(12)", "'\\r'"):
             t = f"replace({t}, {x}, ' ')"
-        every = docs.select(F.explode(F.expr(f"split({t}, ' ')")).alias("w"))
-        if words.limit(self.broadcast_words + 1).count() <= self.broadcast_words:
+        every = docs.select(F.expr("inline(" + let(f"array_remove(split({t}, ' '), '')", "w", "transform(w, (x, i) -> struct(x as a, get(w, i - 1) as b, get(w, i - 2) as c))") + ")"))
+        last = words.select(F.substring_index("word", " ", -1).alias("z")).distinct()
+        few = words.limit(self.broadcast_words + 1).count() <= self.broadcast_words
+        every = every.join(F.broadcast(last) if few else last, F.col("a") == F.col("z"), "left_semi")
+        every = every.select(F.explode(F.expr("array(a, b || ' ' || a, c || ' ' || b || ' ' || a)")).alias("w")).filter("w is not null")
+        if few:
             some = every.join(F.broadcast(words), F.col("w") == F.col("word"), "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("occurrences"))
         else:
             some = every.groupBy("w").agg(F.count(F.lit(1)).alias("occurrences")).join(words, F.col("w") == F.col("word"), "left_semi")
@@ -98,7 +109,7 @@ class PersonalData:
 
     def patterns(self, work: Workspace, docs: DataFrame, found: DataFrame) -> DataFrame:
         """The trusted patterns: word, score, instances."""
-        m = found.select(F.explode("mentions").alias("m")).select("m.word", "m.surface", "m.seed").filter("word <> ''")
+        m = found.select(F.explode("mentions").alias("m")).select(F.explode("m.words").alias("word"), "m.surface", "m.seed")
         edges = work.save(m.groupBy("word", "surface").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "edges")
         # a word with fewer distinct instances is never trusted and lends nothing; all others may join in any round
         able = edges.groupBy("word").agg(F.sum("n").alias("identifiers"), F.count(F.lit(1)).alias("surfaces")).filter(F.col("surfaces") >= self.support)
@@ -126,6 +137,8 @@ class PersonalData:
             # a pattern with too few instances lends none of its score yet
             lent = F.when(F.col("instances") >= self.support, F.least("score", F.lit(0.999))).otherwise(0.0)
             belief = graph.select("word", "surface").join(by.withColumn("lent", lent).select(F.col("word").alias("p"), "lent"), F.col("word") == F.col("p"))
+            # patterns that end in the same word are one witness
+            belief = belief.groupBy("surface", F.substring_index("word", " ", -1).alias("last")).agg(F.max("lent").alias("lent"))
             belief = belief.groupBy(F.col("surface").alias("j")).agg((1 - F.exp(F.sum(F.log1p(-F.col("lent"))))).alias("belief"))
             now = work.save(score.join(belief, F.col("i") == F.col("j"), "left").select("i", "given", F.greatest("given", F.coalesce("belief", F.lit(0.0))).alias("score")), f"instances{turn}")
             work.drop(f"instances{turn - 1}", f"patterns{turn - 1}")
@@ -150,11 +163,12 @@ class PersonalData:
             added = found.withColumn("added", F.expr(_NONE))
         elif n <= self.literal_patterns:
             words = [r[0] for r in trusted.select("word").collect()]
-            some = F.filter("mentions", lambda m: ~m["seed"] & m["word"].isin(words))
+            some = F.filter("mentions", lambda m: ~m["seed"] & F.exists(m["words"], lambda w: w.isin(words)))
             added = found.withColumn("some", some).withColumn("added", F.expr(f"transform(some, m -> {as_span})")).drop("some")
         else:
-            each = found.select("at", F.explode("mentions").alias("m")).filter("not m.seed").join(trusted.select("word"), F.col("m.word") == F.col("word"), "left_semi")
-            each = each.groupBy(F.col("at").alias("k")).agg(F.collect_list(F.expr(as_span)).alias("added"))
+            each = found.select("at", F.explode("mentions").alias("m")).filter("not m.seed").select("at", F.expr(as_span).alias("s"), F.explode("m.words").alias("p"))
+            each = each.join(trusted.select("word"), F.col("p") == F.col("word"), "left_semi")
+            each = each.groupBy(F.col("at").alias("k")).agg(F.collect_set("s").alias("added"))
             added = found.join(each, F.col("at") == F.col("k"), "left").withColumn("added", F.coalesce("added", F.expr(_NONE))).drop("k")
         spans = "array_sort(concat(base, transform(added, s -> named_struct('kind', s.kind, 'start', s.start, 'stop', s.stop))), (x, y) -> case when x.start <> y.start then if(x.start < y.start, -1, 1) when x.kind <> y.kind then if(x.kind < y.kind, -1, 1) else 0 end)"
         return added.withColumn("spans", F.expr(spans)).drop("mentions", "added", "at")

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from siftwell.llm import hashing
 from siftwell.llm.license_texts import TEMPLATES
@@ -63,3 +64,13 @@ def test_discovered_identifiers_induce_patterns(spark):
     got = found_by(spark, [*texts, "user zed9", "page 7", "page 8", "page 9"])
     n = len(texts)
     assert all(got[i] for i in range(n)) and got[n] == "id:5:9" and not any(got[n + i] for i in (1, 2, 3))
+
+
+@pytest.mark.parametrize("limits", [{}, {"literal_patterns": 0, "broadcast_words": 0}])
+def test_patterns_of_several_words_and_of_any_length(spark, limits):
+    plain = ["the number is high", "a list is short and it is old", "this one is good"] * 20
+    long, wide = "q" * 3000, " " * 5000
+    texts = [f"my account number is a{i}@site.org" for i in range(4)] + [f"{long} b{i}@site.org" for i in range(4)] + [f"gapped{wide}c{i}@site.org" for i in range(4)]
+    asked = [("My account\tnumber  is kx77", "id:22:26"), (f"{long} kx78", "id:3001:3005"), (f"gapped{wide}kx79", "id:5006:5010"), ("this is kx80", "")]
+    got = found_by(spark, [*texts, *(x for x, _ in asked), *plain], **limits)
+    assert [got[len(texts) + i] for i in range(4)] == [x for _, x in asked]
