@@ -1,4 +1,9 @@
-"""Templates of public licences and notices: name -> text."""
+"""Templates of public licences and notices: name -> text.
+
+``NAME-text`` is the whole licence, without an appendix on how to apply it; the long ones are files in ``texts``.
+"""
+
+import pkgutil
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
@@ -38,3 +43,36 @@ with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
 sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "All-rights-reserved": "All rights reserved.",
 }
+
+_BSD_CONDITIONS = TEMPLATES["BSD-3-Clause"].split(" 3. Neither")[0]
+_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEMPLATES |= {
+    "BSD-2-Clause": _BSD_CONDITIONS,
+    "BSD-2-Clause-text": _BSD_CONDITIONS + _DISCLAIMER,
+    "BSD-3-Clause-text": TEMPLATES["BSD-3-Clause"] + _DISCLAIMER,
+    "ISC-text": TEMPLATES["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+}
+for _name, _long, _what, _versions in (("GPL", "General", "program", ("2.0", "3.0")), ("LGPL", "Lesser General", "library", ("2.1", "3.0")), ("AGPL", "Affero General", "program", ("3.0",))):
+    for _v in _versions:
+        _short = _v.removesuffix(".0")
+        _header = TEMPLATES["GPL-3.0"].replace("General Public", f"{_long} Public").replace("This program", f"This {_what}").replace("version 3 ", f"version {_short} ")
+        TEMPLATES.setdefault(f"{_name}-{_v}", _header)
+        TEMPLATES.setdefault(f"{_name}-{_v}-notice", f"This work is licensed under the GNU {_long} Public License, version {_short}.")
+for _kind, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                     ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _v, _port in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic")):
+        for _suffix, _text in (("notice", f"Licensed under CC {_kind} {_v}."), ("notice-long", f"This work is licensed under a Creative Commons {_long} {_v} {_port} License.")):
+            if _text not in TEMPLATES.values():  # CC-BY-4.0-notice is the long form there
+                TEMPLATES[f"CC-{_kind}-{_v}-{_suffix if f'CC-{_kind}-{_v}-{_suffix}' not in TEMPLATES else 'notice-short'}"] = _text
+TEMPLATES |= {
+    f"{_name}-text": pkgutil.get_data(__package__, f"texts/{_name}.txt").decode()
+    for _name in ("Apache-2.0", "Artistic-1.0", "CC0-1.0", "EPL-1.0", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+}

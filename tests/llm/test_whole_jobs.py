@@ -74,3 +74,11 @@ def test_patterns_of_several_words_and_of_any_length(spark, limits):
     asked = [("My account\tnumber  is kx77", "id:22:26"), (f"{long} kx78", "id:3001:3005"), (f"gapped{wide}kx79", "id:5006:5010"), ("this is kx80", "")]
     got = found_by(spark, [*texts, *(x for x, _ in asked), *plain], **limits)
     assert [got[len(texts) + i] for i in range(4)] == [x for _, x in asked]
+
+
+def test_each_template_is_found_as_itself():
+    for name, text in TEMPLATES.items():
+        assert [x[0] for x in licences_of(f"before {text} after")] == [name], name
+    assert [x[0] for x in licences_of("Licensed under CC BY 4.0.")] == ["CC-BY-4.0-notice-short"]
+    assert [x[0] for x in licences_of("Licensed under CC BY-SA 4.0.")] == ["CC-BY-SA-4.0-notice"]
+    assert {"Apache-2.0-text", "GPL-2.0-text", "LGPL-2.1-text", "EPL-1.0-text", "CC0-1.0-text", "BSD-2-Clause-text", "ISC-text", "AGPL-3.0"} <= set(TEMPLATES)
