@@ -4,7 +4,8 @@ Lines are normalised (lower case, white space collapsed) and hashed with
 MD5.  For each host and line the *distinct documents* that hold it are counted; documents of a
 host that have exactly the same set of lines count once, so that copies of one document
 don't make its lines look like boilerplate.  Near copies count one each.  A line is frequent
-where that count exceeds both an absolute limit and a share of the host's documents.
+where that count exceeds both an absolute limit and a share of the host's documents, or a
+second, higher limit alone, so that boilerplate of a part of a very large host goes too.
 Frequent lines are removed; a document that loses almost all of its text is rejected.
 
 Plan: one pass over the texts computes all figures and line hashes and saves them (no
@@ -78,12 +79,13 @@ def _key(id_col: str, text: str, host: str) -> str:
 
 class LineRules:
     def __init__(self, *, text: str = "text", host: str = "source", id_col: str = "doc_id", min_words: int = 20, repeat_percent: int = 30,
-                 max_documents: int = 20, max_percent: int = 2, depleted_percent: int = 80, depleted_chars: int = 100, broadcast_lines: int = 100_000) -> None:
-        """A line is frequent above ``max_documents`` and above ``max_percent`` of its host's documents.  A document
+                 max_documents: int = 20, max_percent: int = 2, always_documents: int = 1_000, depleted_percent: int = 80, depleted_chars: int = 100, broadcast_lines: int = 100_000) -> None:
+        """A line is frequent above ``max_documents`` and above ``max_percent`` of its host's documents, or above
+        ``always_documents`` whatever the share.  A document
         is depleted if at least ``depleted_percent`` of its characters go and fewer than ``depleted_chars`` stay."""
         self.text, self.host, self.id_col = text, host, id_col
         self.min_words, self.repeat_percent = min_words, repeat_percent
-        self.max_documents, self.max_percent = max_documents, max_percent
+        self.max_documents, self.max_percent, self.always_documents = max_documents, max_percent, always_documents
         self.depleted_percent, self.depleted_chars = depleted_percent, depleted_chars
         self.broadcast_lines = broadcast_lines
 
@@ -106,7 +108,8 @@ class LineRules:
         if hosts.limit(self.broadcast_lines + 1).count() <= self.broadcast_lines:
             hosts = F.broadcast(hosts)
         out = many.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-        out = out.filter(100 * F.col("documents") > self.max_percent * F.col("host_documents"))
+        share = 100 * F.col("documents") > self.max_percent * F.col("host_documents")
+        out = out.filter(share | (F.col("documents") > self.always_documents))
         out = work.save(out.select("host", "line", "documents"), "frequent")
         return out, out.count()
 

@@ -82,3 +82,9 @@ def test_each_template_is_found_as_itself():
     assert [x[0] for x in licences_of("Licensed under CC BY 4.0.")] == ["CC-BY-4.0-notice-short"]
     assert [x[0] for x in licences_of("Licensed under CC BY-SA 4.0.")] == ["CC-BY-SA-4.0-notice"]
     assert {"Apache-2.0-text", "GPL-2.0-text", "LGPL-2.1-text", "EPL-1.0-text", "CC0-1.0-text", "BSD-2-Clause-text", "ISC-text", "AGPL-3.0"} <= set(TEMPLATES)
+
+
+def test_lines_of_a_part_of_a_large_host_go(spark):
+    docs = spark.range(52_000).selectExpr("id as doc_id", "concat(if(id < 1001, 'menu of this part\\n', if(id < 2001, 'as often as allowed\\n', '')), 'title ', id) as text", "'h' as source")
+    got = LineRules().verdicts(docs).filter("n_removed_chars > 0").select("doc_id").collect()
+    assert {r[0] for r in got} == set(range(1001))  # below 2% of the host
