@@ -12,10 +12,10 @@
    pairs in proportion to the members, never all pairs.  Pairs are confirmed on the full sets.
 4. Components of the confirmed links by alternating large-star and small-star.
 5. No link is lost: in buckets that still hold several components, the members' shingles are told apart by
-   how many members have them.  Members that share a rare shingle (at most ``rare`` have it) meet through
-   it.  Pairs that share none must share common shingles only, whose number bounds their similarity; a
-   member outside its bucket's largest component is compared with the members of other components that this
-   bound leaves.  Step 4 then runs over all links again.
+   how many members have them.  For each member those of other components that share its rare shingles (at most
+   ``rare`` have such a one) are counted, and come up if they share as many as a link takes.  Pairs that share none must
+   share common shingles only, whose number bounds their similarity; a member outside its bucket's largest component is
+   compared with the members of other components that this bound leaves.  Step 4 then runs over all links again.
 
 Bands are sized so that a pair at the threshold shares none with a probability below ``miss``.
 Hot keys: buckets and classes are found by partial aggregation; joins on them are between
@@ -163,18 +163,25 @@ class MinHash:
         each = dealt.groupBy("part").applyInArrow(count, "cls binary, alone long")
         return each.groupBy("cls").agg(F.sum("alone").alias("alone"))
 
-    def _rare(self, sets: DataFrame, total: int) -> DataFrame:
-        """Of the given classes' shingles that at most ``rare`` of them have: a row (a, null, number) for each class, a row (a, b, number shared) for each two classes."""
-        parts, most = max(1, total // 250_000), self.rare
+    def _rare(self, sets: DataFrame, total: int, classes: int) -> DataFrame:
+        """Of the given classes' shingles that at most ``rare`` of them have: a row (ca, null, number) for each class, a row (ca, cb, number shared) for two
+        classes of different components that share as many as the first of them needs, beside its common shingles, to be linked.
+
+        Partners are counted in lists, a row for each class and range of shingles: at most ``rare`` - 1 for a shingle, whatever a group's size.
+        """
+        parts, hands, most, percent = max(1, total // 250_000), max(1, classes // 4000), self.rare, self.percent
+        meta = np.dtype([("cls", "V16"), ("n", ">i8"), ("comp", ">i8")])
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = ((batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy().view(np.uint64)) for i in range(batch.num_rows))
-                yield self._deal(own, parts)
+                cls, own, n, comp = (batch.column(i) for i in range(4))
+                named = (cls[i].as_py() + n[i].as_py().to_bytes(8) + comp[i].as_py().to_bytes(8, signed=True) for i in range(batch.num_rows))
+                yield self._deal(zip(named, (own[i].values.to_numpy().view(np.uint64) for i in range(batch.num_rows)), strict=True), parts)
 
-        def count(table: pa.Table) -> pa.Table:
+        def meet(table: pa.Table) -> pa.Table:
             cls, counts, values = _flat(table)
             names, code = np.unique(np.array(cls.to_pylist(), object), return_inverse=True)
+            comp = np.frombuffer(b"".join(names), meta)["comp"].astype(np.int64)
             doc = np.repeat(code, counts)
             order = np.argsort(values, kind="stable")
             values, doc = values[order], doc[order]
@@ -185,16 +192,37 @@ class MinHash:
             for n in range(2, most + 1):
                 own = np.sort(doc[first[times == n][:, None] + np.arange(n)], axis=1)
                 x, y = np.triu_indices(n, 1)
-                met.append((own[:, x] * len(names) + own[:, y]).ravel())
+                a, b = own[:, x].ravel(), own[:, y].ravel()
+                met.append((a * len(names) + b)[comp[a] != comp[b]])
             pairs, shared = np.unique(np.concatenate(met), return_counts=True)
-            a, b = np.concatenate([np.arange(len(names)), pairs // max(1, len(names))]), pairs % max(1, len(names))
+            stops = np.searchsorted(pairs, np.arange(len(names) + 1) * len(names))
             binary = pa.array(names.tolist(), pa.binary())
-            others = pa.concat_arrays([pa.nulls(len(names), pa.binary()), binary.take(pa.array(b))])
-            return pa.table({"a": binary.take(pa.array(a)), "b": others, "number": pa.array(np.concatenate([few, shared]), pa.int64())})
+            offsets = pa.array(stops.astype(np.int32))
+            partners = pa.ListArray.from_arrays(offsets, binary.take(pa.array(pairs % max(1, len(names)))))
+            return pa.table({"a": binary, "few": pa.array(few, pa.int64()), "partners": partners, "shared": pa.ListArray.from_arrays(offsets, pa.array(shared, pa.int64()))})
 
-        dealt = sets.select("cls", "own").mapInArrow(deal, _DEALT)
-        each = dealt.groupBy("part").applyInArrow(count, "a binary, b binary, number long")
-        return each.groupBy("a", "b").agg(F.sum("number").alias("number"))
+        def count(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            names, code = np.unique(np.array(table["a"].to_pylist(), object), return_inverse=True)
+            few = np.bincount(code, table["few"].to_numpy(), minlength=len(names)).astype(np.int64)
+            lists = table["partners"].combine_chunks()
+            others, other = np.unique(np.array(lists.flatten().to_pylist(), object), return_inverse=True)
+            mine = np.repeat(code, lists.value_lengths().to_numpy())
+            pairs, at = np.unique(mine * max(1, len(others)) + other, return_inverse=True)
+            shared = np.bincount(at, table["shared"].combine_chunks().flatten().to_numpy(), minlength=len(pairs)).astype(np.int64)
+            n = np.frombuffer(b"".join(names), meta)["n"].astype(np.int64)
+            need = -(-n * percent // 100) - (n - few)
+            a = pairs // max(1, len(others))
+            held = shared >= need[a]
+            cut = lambda some, at: pa.array([some[i][:16] for i in at], pa.binary())
+            both = (np.arange(len(names)), a[held])
+            cb = pa.concat_arrays([pa.nulls(len(names), pa.binary()), cut(others, pairs[held] % max(1, len(others)))])
+            return pa.table({"ca": cut(names, np.concatenate(both)), "cb": cb, "number": pa.array(np.concatenate([few, shared[held]]), pa.int64())})
+
+        dealt = sets.select("cls", "own", "n", "comp").mapInArrow(deal, _DEALT)
+        each = dealt.groupBy("part").applyInArrow(meet, "a binary, few long, partners array<binary>, shared array<long>")
+        each = each.withColumn("hand", F.pmod(F.xxhash64("a"), F.lit(hands)))
+        return each.groupBy("hand").applyInArrow(count, "ca binary, cb binary, number long")
 
     def _possible(self, x: str, y: str, more: Column | int = 0) -> Column:
         """Whether rows with sizes n{x}, n{y} and at most k{x}, k{y} shingles to share, and ``more``, may be linked."""
@@ -245,7 +273,7 @@ class MinHash:
         work.drop("near", "sizes", "sized", "middle", "centers")
 
         label = found.select(F.col("node").alias("r"), "component")
-        placed = near.join(label, F.col("rep") == F.col("r"), "left").select("rep", "cls", "n", "k", "band", "h", F.coalesce("component", "rep").alias("comp"))
+        placed = near.join(label, F.col("rep") == F.col("r"), "left").select("rep", "cls", "n", "band", "h", F.coalesce("component", "rep").alias("comp"))
         placed = work.save(placed, "placed")
         parts = placed.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("m"))
         mixed = parts.groupBy("band", "h").agg(F.max(F.struct("m", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
@@ -253,16 +281,15 @@ class MinHash:
         rest = placed.join(mixed, (F.col("band") == F.col("mband")) & (F.col("h") == F.col("mh"))).drop("mband", "mh")
         rest = work.save(rest, "rest")
         asked = work.save(rest.select("rep", "cls", "n", "comp").distinct(), "mixed_classes")
-        total = asked.agg(F.sum("n")).first()[0] or 0
-        own = sets.join(asked.select(F.col("rep").alias("i"), F.col("cls").alias("c")), (F.col("id") == F.col("i")) & (F.col("cls") == F.col("c")))
-        rare = work.save(self._rare(own, total), "rare")
-        asked = asked.join(rare.filter("b is null").select(F.col("a").alias("c"), "number"), F.col("cls") == F.col("c"))
-        asked = work.save(asked.select("rep", "cls", "n", "comp", (F.col("n") - F.col("number")).alias("k")), "common")
-        x, y = (asked.select(F.col("rep").alias(a), F.col("cls").alias(c), F.col("n").alias(f"n{s}"), F.col("k").alias(f"k{s}"), F.col("comp").alias(f"p{s}")) for a, c, s in (("a", "ca", "x"), ("b", "cb", "y")))
-        met = rare.filter("b is not null").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "number").join(x, "ca").join(y, "cb")
-        met = met.filter((F.col("px") != F.col("py")) & self._possible("x", "y", F.col("number"))).select("a", "ca", "b", "cb")
-
-        could = asked.filter(100 * F.col("k") >= self.percent * F.col("n")).select(F.col("rep").alias("i"), F.col("cls").alias("c"), F.col("k").alias("common"))
+        total, classes = asked.agg(F.sum("n"), F.count(F.lit(1))).first()
+        own = sets.withColumnRenamed("cls", "c").join(asked, (F.col("id") == F.col("rep")) & (F.col("c") == F.col("cls")))
+        rare = work.save(self._rare(own, total or 0, classes), "rare")
+        common = asked.join(rare.filter("cb is null").select("ca", "number"), F.col("cls") == F.col("ca"))
+        common = work.save(common.select("rep", "cls", "n", "comp", (F.col("n") - F.col("number")).alias("k")), "common")
+        x, y = (common.select(F.col("rep").alias(a), F.col("cls").alias(c), F.col("n").alias(f"n{s}"), F.col("k").alias(f"k{s}")) for a, c, s in (("a", "ca", "x"), ("b", "cb", "y")))
+        met = rare.filter("cb is not null").join(x, "ca").join(y, "cb").filter(self._possible("x", "y", F.col("number"))).select("a", "ca", "b", "cb")
+
+        could = common.filter(100 * F.col("k") >= self.percent * F.col("n")).select(F.col("rep").alias("i"), F.col("cls").alias("c"), F.col("k").alias("common"))
         rest = rest.join(could, (F.col("rep") == F.col("i")) & (F.col("cls") == F.col("c"))).drop("i", "c")
         rest = rest.join(reps.select(F.col("rep").alias("i"), F.col("cls").alias("c"), "bands"), (F.col("rep") == F.col("i")) & (F.col("cls") == F.col("c"))).drop("i", "c")
         rest = work.save(rest, "could")
