@@ -14,18 +14,25 @@ import pyarrow as pa
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Values of the bytes if A-Z differ from a-z.
+CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUES = _VALUES[_LOWER]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUES = CASED[_LOWER]
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _FACTORS = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 _powers: list[np.ndarray] = []
 
 
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one run after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
@@ -72,8 +79,8 @@ def words(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return located_words(flat, bounds)[:2]
 
 
-def located_words(flat: np.ndarray, bounds: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, ...]:
-    """As ``words``, with the words' first and last bytes.  between: which bytes separate words."""
+def located_words(flat: np.ndarray, bounds: np.ndarray, between: np.ndarray = SPACE, values: np.ndarray = _VALUES) -> tuple[np.ndarray, ...]:
+    """As ``words``, with the words' first and last bytes.  between: which bytes separate words; values: of the bytes."""
     n = len(flat)
     if not n:
         none = np.zeros(0, np.int64)
@@ -92,7 +99,7 @@ def located_words(flat: np.ndarray, bounds: np.ndarray, between: np.ndarray = _S
     start = np.flatnonzero(first & word)
     end = np.flatnonzero(last & word)
     power, inverse = _power(n)
-    sums = np.cumsum(_VALUES[flat] * power[:n], dtype=np.uint64)
+    sums = np.cumsum(values[flat] * power[:n], dtype=np.uint64)
     h = sums[end]
     before = start > 0
     h[before] -= sums[start[before] - 1]

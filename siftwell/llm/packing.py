@@ -19,71 +19,19 @@ rows: each row is a document of its own.  Empty table: empty result.  Extra colu
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import WordTokens
 from .common import Workspace, small_batches
 
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 900_000
-_caches: dict[str, dict[bytes, bytes]] = {}
-
-
-#: Words that the normalizer and pre-tokenizer of a byte-level, lower-casing tokenizer split in an evident way.
-_PLAIN = re.compile("^([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)$")
-#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
-_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES = {b: chr(b) if b in _SHOWN else chr(256 + sum(x not in _SHOWN for x in range(b))) for b in range(256)}
-
-
-def _model_bytes(tokenizer, word: bytes) -> bytes:
-    if not word:
-        return b""
-    return np.array([x.id for x in tokenizer.model.tokenize("".join(_BYTES[b] for b in word))], "<u4").tobytes()
-
-
-def token_bytes(texts: list[bytes], tokenizer, cache: dict[bytes, bytes]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
-
-    For tokenizers that drop white space: then a text's ids are those of its parts between ASCII
-    white space, one after another, and equal parts are encoded once, many in one call;
-    the tokens' offsets tell the parts apart.  Latin letters with marks after them go to the model at
-    once, which takes a third of the time.
-    """
-    split = [t.split() for t in texts]
-    new = set(chain.from_iterable(split)) - cache.keys()
-    if new:
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(chain.from_iterable(split))
-        todo = []
-        for w in (w.decode() for w in new):
-            if plain := _PLAIN.match(w):
-                letters, marks = plain[1].lower().encode(), plain[2].encode()
-                for part in (letters, marks):
-                    if part not in cache:
-                        cache[part] = _model_bytes(tokenizer, part)
-                cache[w.encode()] = cache[letters] + cache[marks]
-            else:
-                todo.append(w)
-        for i in range(0, len(todo), 4096):
-            some = todo[i : i + 4096]
-            got = tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            at = np.fromiter((x for x, _ in got.offsets), np.int64, len(got))
-            stops = np.searchsorted(at, starts).tolist()
-            raw = np.array(got.ids, "<u4").tobytes()
-            for w, x, y in zip(some, stops, stops[1:], strict=False):
-                cache[w.encode()] = raw[4 * x : 4 * y]
-    get = cache.__getitem__
-    return [b"".join(map(get, x)) for x in split]
+_tokenizers: dict[str, WordTokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -95,16 +43,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = _caches.setdefault("tokenizers", {}).setdefault(tokenizer_path, None) or Tokenizer.from_file(tokenizer_path)
-        _caches["tokenizers"][tokenizer_path] = tokenizer
-        cache = _caches.setdefault(tokenizer_path, {})
+        if tokenizer_path not in _tokenizers:
+            _tokenizers[tokenizer_path] = WordTokens(tokenizer_path)
+        tokens = _tokenizers[tokenizer_path]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).fill_null("").cast(pa.binary()).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, raw in enumerate(token_bytes(texts, tokenizer, cache)):
-                raw += last
+            for i, own in enumerate(tokens.texts(batch.column(1))):
+                raw = own.astype("<u4", copy=False).tobytes() + last
                 n = len(raw) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     part = raw[4 * start : 4 * (start + capacity)]
@@ -112,15 +57,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id
                         column.append(value)
             rows, *rest = out
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), *(pa.array(x, kind) for x, kind in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))],
+                [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, kind) for x, kind in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         task, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(price: np.ndarray) -> np.ndarray:
-    """The combination of lengths (numbers, by length) of the highest price that fills at most len(price) - 1."""
+#: Pieces shorter than this part of a sequence are left to best fit, which closes the last gaps with them.
+SAND = 32
+
+Configuration = tuple[int, ...]
+
+
+def knapsack(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to len(price) - 1 the highest price of lengths that it takes, and one of these lengths (0: leave a place empty)."""
     capacity = len(price) - 1
     best = np.zeros(capacity + 1)
     choice = np.zeros(capacity + 1, np.int64)
@@ -132,63 +83,99 @@ def knapsack(price: np.ndarray) -> np.ndarray:
             best[c], choice[c] = v[j], j + 1
         else:
             best[c] = best[c - 1]
-    out, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if choice[c]:
-            out[choice[c]] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return out
+    return best, choice
+
+
+def filled(choice: list[int], room: int) -> Configuration:
+    """The lengths that ``knapsack`` puts into this room."""
+    out = []
+    while room > 0:
+        if choice[room]:
+            out.append(choice[room])
+        room -= choice[room] or 1
+    return tuple(out)
 
 
-def solve(counts: np.ndarray, *, steps: int = 400, step: float = 0.25, sharpness: float = 6.0) -> list[tuple[np.ndarray, float]]:
-    """Fractional configurations for counts (by length, 0 unused), by multiplicative weights."""
-    size = np.arange(len(counts))
+def solve(counts: np.ndarray, *, step: float = 0.25, sharpness: float = 6.0, tables: int = 60, batch: int = 128, slack: float = 0.1) -> list[tuple[Configuration, float]]:
+    """Fractional configurations for counts (by length, 0 unused), by multiplicative weights.
+
+    A dynamic program at the current prices serves ``batch`` steps: for each of the lengths that lag most, the best
+    combination with it, if its price is within ``slack`` of the best of all.
+    """
+    size, capacity = np.arange(len(counts)), len(counts) - 1
     some = counts > 0
-    some[-1] = False  # a piece that fills a sequence stands alone
     covered = np.zeros(len(counts))
-    found: dict[bytes, list] = {}
-    for _ in range(steps):
-        open_ = some & (covered < 1)
+    found: dict[Configuration, float] = {}
+    for _ in range(tables):
+        open_ = some & (covered < 1 - 1e-9)
         if not open_.any():
             break
         # by size, as a token of any length is worth the same; lengths that lag behind gain
         price = np.where(open_, size * np.exp(-sharpness * (covered - covered[open_].min())), 0.0)
-        a = knapsack(price)
-        used = a > 0
-        x = step * float((counts[used] / a[used]).min())
-        x = min(x, float(((1 - covered[used]) * counts[used] / a[used]).min()) if x > 1 else x)
-        covered[used] += a[used] * x / counts[used]
-        found.setdefault(a.tobytes(), [a, 0.0])[1] += x
-    return [(a, x) for a, x in found.values()]
+        best, choice = knapsack(price)
+        chosen, moved = choice.tolist(), False
+        lagging = np.lexsort((-size, covered))
+        for n in lagging[open_[lagging]][:batch].tolist():
+            if price[n] + best[capacity - n] < (1 - slack) * best[capacity]:
+                continue
+            a = tuple(sorted((n, *filled(chosen, capacity - n)), reverse=True))
+            times = Counter(a)
+            x = min(min(step, 1 - covered[l]) * counts[l] / k for l, k in times.items())
+            if x < 1e-9:
+                continue
+            for l, k in times.items():
+                covered[l] += k * x / counts[l]
+            found[a] = found.get(a, 0.0) + x
+            moved = True
+        if not moved:
+            break
+    return list(found.items())
 
 
-def plan(counts: np.ndarray, ways: tuple[dict, ...] = ({}, {"step": 0.1, "sharpness": 20.0})) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """Groups of equal sequences (lengths in order, how many), and the number of all sequences.
+def plan(counts: np.ndarray, *, rests: tuple[float, ...] = (0.02, 0.1, 0.25), turns: int = 12) -> tuple[list[tuple[Configuration, int]], int, int]:
+    """Groups of equal sequences (lengths in order, how many), the number of all sequences, and of those that the program gave.
 
-    The program is solved in each of the ways; of these, and of best fit alone, the plan with fewest sequences is taken.
+    The program's configurations are taken in whole numbers, those of full sequences at least once while there are pieces for them; it is
+    solved again for the pieces that are left, until it takes no more of them or few are left, which best fit places:
+    the least of the shares ``rests`` with the fewest sequences.  If best fit alone needs fewer, its plan is taken.
     """
-    made = [rounded(counts, configurations) for configurations in ([], *(solve(counts, **how) for how in ways))]
-    return min(made, key=lambda x: x[1])
-
-
-def rounded(counts: np.ndarray, configurations: list[tuple[np.ndarray, float]]) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """Whole multiples of the configurations, then best fit."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
-    slack: list[list] = [[] for _ in range(capacity + 1)]
-    full = int(left[capacity])
-    if full:
-        slack[0].append(((capacity,), full))
+    taken: list[tuple[Configuration, int]] = []
+    if left[capacity]:  # a piece that fills a sequence stands alone
+        taken.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    for a, x in sorted(configurations, key=lambda p: -p[1]):
-        used = a > 0
-        k = min(int(x + 1e-9), int((left[used] // a[used]).min()))
-        if k > 0:
-            left -= k * a
-            content = tuple(int(l) for l in np.repeat(np.arange(capacity + 1), a)[::-1])
-            slack[capacity - sum(content)].append((content, k))
+    start, total, given, made = left.copy(), left.sum(), 0, []
+    sand = np.arange(capacity + 1) < capacity // SAND
+    for share in sorted(rests, reverse=True):
+        for turn in range(turns):
+            before = left.sum()
+            for a, x in sorted(solve(np.where(sand, 0, left), step=1.0 if turn or made else 0.25), key=lambda p: -p[1]):
+                times = Counter(a)
+                whole = int(x + 1e-9) if sum(a) < capacity and not turn else max(1, int(x + 1e-9)) if sum(a) == capacity else 0
+                k = min(whole, *(int(left[l]) // m for l, m in times.items()))
+                if k > 0 and left.sum() > share * total:
+                    for l, m in times.items():
+                        left[l] -= k * m
+                    given += k
+                    taken.append((a, k))
+            if left.sum() in (0, before) or left.sum() <= share * total:
+                break
+        groups = best_fit(left, taken)
+        made.append((sum(k for _, k in groups), -given, groups))
+    n, given, groups = min(made, key=lambda x: x[:2])
+    alone = best_fit(start, [((capacity,), int(counts[capacity]))] if counts[capacity] else [])
+    n_alone = sum(k for _, k in alone)
+    return (groups, n, -given) if n <= n_alone else (alone, n_alone, 0)
+
+
+def best_fit(counts: np.ndarray, groups: list[tuple[Configuration, int]]) -> list[tuple[Configuration, int]]:
+    """Groups of sequences with the counted pieces added, longest first, each to the fullest sequence that takes it."""
+    capacity = len(counts) - 1
+    left = counts.astype(np.int64)
+    slack: list[list] = [[] for _ in range(capacity + 1)]
+    for content, k in groups:
+        slack[capacity - sum(content)].append((content, k))
     free = {s for s in range(1, capacity + 1) if slack[s]}
     for l in range(capacity, 0, -1):
         n = int(left[l])
@@ -213,11 +200,10 @@ def rounded(counts: np.ndarray, configurations: list[tuple[np.ndarray, float]])
             slack[s_new].append(group)
             if s_new:
                 free.add(s_new)
-    groups = [g for x in slack for g in x]
-    return groups, sum(k for _, k in groups)
+    return [g for x in slack for g in x]
 
 
-def placements(groups: list[tuple[tuple[int, ...], int]], capacity: int) -> tuple[np.ndarray, ...]:
+def placements(groups: list[tuple[Configuration, int]], capacity: int) -> tuple[np.ndarray, ...]:
     """For each length, runs of its pieces: first place (over all lengths in turn), sequence of the first, offset; and each length's first place."""
     by: list[list] = [[] for _ in range(capacity + 1)]
     first = 0
