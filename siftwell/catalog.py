@@ -33,7 +33,8 @@ _folders: dict[str, str] = {}
 def _shared(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
-    if not found and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not found and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if app not in _folders:
         _folders[app] = f"{found.rstrip('/')}/index-{uuid.uuid4().hex}" if found else tempfile.mkdtemp(prefix="index-")
@@ -219,7 +220,7 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ways = [F.to_json(F.struct(F.col("doc_id").alias(a), F.col("source").alias("title"), F.lit(True).alias("draft"), F.array(F.lit(1)).alias("tags"), F.col("text").alias(b))) for a, b in (("url", "body"), ("id", "text"), ("id", "content"))]
     line = F.when(F.col("doc_id") % 3 == 0, ways[0]).when(F.col("doc_id") % 3 == 1, ways[1]).otherwise(ways[2])
-    return json_documents(docs.select(F.lit("made").alias("url"), line.alias("value"))).select("url", "title", F.md5("body").alias("body"), "bad")
+    return json_documents(docs.select(F.lit("made").alias("file"), line.alias("value"))).select("url", "title", F.md5("body").alias("body"), "bad")
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,5 +295,5 @@ def oracle_sql() -> dict[str, str]:
         "collapse_whitespace": r"SELECT doc_id, length(t) AS length, md5(t) AS md5 FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)",
         "truncate_body": "SELECT doc_id, substr(text, 1, 120) AS body FROM documents",
         "drop_empty": "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND trim(source) <> '' OR doc_id % 5 <> 0 AND trim(text) <> ''",
-        "json_aliases": r"SELECT doc_id::VARCHAR AS url, trim(source) AS title, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body, NULL::VARCHAR AS bad FROM documents",
+        "json_aliases": r"SELECT doc_id::VARCHAR AS url, trim(source) AS title, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body, NULL::VARCHAR AS bad FROM documents",
     }

@@ -15,10 +15,14 @@ from .operators.evaluate import evaluate, small
 from .operators.spelling import corrections, lookup, with_prefix
 from .operators.storage import FORMAT, Files, IndexFormatError
 from .plans.parser import parse, truncate
-from .plans.planner import MAX_EXPANSIONS, Lookups, correct, correctable, joined, plan, rewrite
+from .plans.planner import MAX_EXPANSIONS, Lookups, compounds, correct, correctable, plan, rewrite
 
 __all__ = ["Index", "IndexFormatError", "build_index", "open_index"]
-TABLES = ("meta", "documents", "doc_stats", "postings", "dictionary", "lexicon", "lexicon_bigrams")
+COLUMNS = {
+    "meta": {"documents", "average", "terms", "words", "format", "rules", "stemming", "title_boost", "created", "bytes"}, "documents": {"doc_id", "url", "title", "body"}, "doc_stats": {"doc_id", "length"},
+    "postings": {"term", "doc_id", "title_tf", "body_tf", "length", "positions"}, "dictionary": {"term", "df"}, "lexicon": {"word", "display", "df"}, "lexicon_bigrams": {"bigram", "word", "df", "n"},
+}
+TABLES = tuple(COLUMNS)
 #: Hits whose documents are looked up by a pushed-down filter.
 FETCHED = 1000
 _MARKED = "struct<text:string,highlights:array<struct<start:int,end:int>>>"
@@ -34,7 +38,7 @@ def checked_page(offset: int, limit: int, most: int = 100) -> None:
 
 
 def open_index(spark: SparkSession, root: str) -> Index:
-    """Opens the published version; later builds don't change what it reads."""
+    """Opens the published version.  The next build doesn't change what it reads; ``latest`` opens what was built since."""
     root = root.rstrip("/")
     name = Files(spark).read(f"{root}/CURRENT").strip()
     return Index(spark, f"{root}/versions/{name}")
@@ -43,8 +47,14 @@ def open_index(spark: SparkSession, root: str) -> Index:
 class Index:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        files = Files(spark)
         for name in TABLES:
+            # a table whose write has ended holds this mark
+            if not files.fs(folder).exists(files.path(f"{folder}/{name}/_SUCCESS")):
+                raise IndexFormatError(f"{folder}: the table {name} is missing or not whole")
             setattr(self, name, spark.read.parquet(f"{folder}/{name}"))
+            if lost := COLUMNS[name] - set(getattr(self, name).columns):
+                raise IndexFormatError(f"{folder}: the table {name} lacks {', '.join(sorted(lost))}")
         self.info = self.meta.first().asDict()
         if self.info["format"] != FORMAT:
             raise IndexFormatError(f"format {self.info['format']} isn't {FORMAT}; build the index again")
@@ -52,6 +62,11 @@ class Index:
             raise IndexFormatError(f"analyzer rules {self.info['rules']} aren't {RULES_VERSION}; build the index again")
         self.stemming = self.info["stemming"]
 
+    def latest(self) -> Index:
+        """This index, or the version that has been published since."""
+        root, _, name = self.folder.rpartition("/versions/")
+        return self if Files(self.spark).read(f"{root}/CURRENT").strip() == name else open_index(self.spark, root)
+
     def register_views(self, prefix: str = "index_") -> None:
         """Temporary views of all tables, for Spark SQL."""
         for name in TABLES:
@@ -77,10 +92,7 @@ class Index:
                 out.prefixes.setdefault(r["prefix"], []).append(r["word"])
         asked = {t.term for words in out.prefixes.values() for w in words for t in analyze(w, 0, self.stemming)}
         for raw, parts in parsed:
-            for i, p in enumerate(parts):
-                asked |= {t.term for t in p.tokens}
-                if p.kind == "word" and i + 1 < len(parts) and (term := joined(raw, p, parts[i + 1], set(), self.stemming)):
-                    asked.add(term)
+            asked |= {t.term for p in parts for t in p.tokens} | set(compounds(raw, parts, self.stemming).values())
         out.terms = self._known(asked)
         wrong = [p.token.surface for (_, parts), on in zip(parsed, auto, strict=True) if on for p in parts if p.kind == "word" and not p.negated and correctable(p.token) and p.token.term not in out.terms]
         out.corrections = corrections(self.spark, self.lexicon, self.lexicon_bigrams, wrong)
@@ -139,7 +151,9 @@ class Index:
     def search_json(self, text: str, page: int = 1, size: int = 10, exact: bool = False) -> str:
         """The result as JSON; markup characters are escaped, so it can stand in a page."""
         import json
+        import time
 
+        start = time.monotonic()
         if not text or not text.strip():
             raise ValueError("q is required")
         if units(text) > 1000:
@@ -151,7 +165,7 @@ class Index:
         found = self.search(text, (page - 1) * size, size, not exact)
         for h in found["hits"]:
             h["score"] = round(h["score"], 3)
-        out = json.dumps({**found, "page": page, "size": size}, ensure_ascii=False)
+        out = json.dumps({**found, "page": page, "size": size, "took_ms": round(1000 * (time.monotonic() - start), 2)}, ensure_ascii=False)
         for c in ("<", ">", "&", "\u2028", "\u2029"):
             out = out.replace(c, f"\\u{ord(c):04x}")
         return out
@@ -183,4 +197,4 @@ class Index:
         return {**row.asDict(), "body": body, "truncated": len(body) < len(row["body"])}
 
     def stats(self) -> dict:
-        return dict(self.info)
+        return {**self.info, "version": self.folder.rpartition("/")[2]}

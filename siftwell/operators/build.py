@@ -20,6 +20,8 @@ from .storage import FORMAT, Version
 TITLE_BOOST = 3.0
 MAX_LEXICON = 2_000_000
 SPELLING_WORDS = 300_000
+#: The tables whose sizes make up the index's.
+PARTS = ("documents", "doc_stats", "postings", "dictionary", "lexicon", "lexicon_bigrams")
 _SPARK = "doc_id long, length double, postings array<struct<term:string,title_tf:int,body_tf:int,positions:array<int>>>, words array<struct<word:string,display:string>>"
 
 
@@ -110,10 +112,14 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def lexicon_of(rows: DataFrame, most: int = MAX_LEXICON) -> DataFrame:
-    """word, display (of the first document), df; above ``most`` words the rarest go, whole levels at a time."""
+def words_of(rows: DataFrame) -> DataFrame:
+    """word, display (of the first document), df."""
     words = rows.select("doc_id", F.explode("words").alias("w")).groupBy("w.word")
-    words = words.agg(F.min_by("w.display", "doc_id").alias("display"), F.count(F.lit(1)).alias("df"))
+    return words.agg(F.min_by("w.display", "doc_id").alias("display"), F.count(F.lit(1)).alias("df"))
+
+
+def lexicon_of(words: DataFrame, most: int = MAX_LEXICON) -> DataFrame:
+    """words, of which above ``most`` the rarest go, whole levels of df at a time."""
     levels = words.groupBy("df").agg(F.count(F.lit(1)).alias("n"))
     above = levels.select("df", F.sum("n").over(Window.orderBy(F.desc("df"))).alias("held"))  # a row for each frequency
     least = above.filter(F.col("held") <= most).agg(F.coalesce(F.min("df"), F.lit(2**62)).alias("least"))
@@ -122,16 +128,25 @@ def lexicon_of(rows: DataFrame, most: int = MAX_LEXICON) -> DataFrame:
 
 def bigrams_of(lexicon: DataFrame, most: int = SPELLING_WORDS) -> DataFrame:
     """bigram, word, df, n (the word's distinct bigrams), of the most frequent words."""
-    some = lexicon.filter(F.length("word").between(2, 32)).orderBy(F.desc("df"), "word").limit(most)
+    some = lexicon.filter(F.length("word").between(2, 32))
+    # only words of the last df level that fits in part are sorted
+    levels = some.groupBy("df").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.sum("n").over(Window.orderBy(F.desc("df"))))  # a row for each frequency
+    whole = F.col("held") <= most
+    cut = levels.agg(F.coalesce(F.min(F.when(whole, F.col("df"))), F.lit(2**62)).alias("least"), F.max(F.when(~whole, F.col("df"))).alias("last"), F.coalesce(F.max(F.when(whole, F.col("held"))), F.lit(0)).alias("sure")).first()
+    sure = some.filter(F.col("df") >= cut["least"])
+    if cut["last"] is not None and cut["sure"] < most:
+        sure = sure.unionByName(some.filter(F.col("df") == cut["last"]).orderBy("word").limit(most - cut["sure"]))
+    some = sure
     padded = F.concat(F.lit("\x02"), F.col("word"), F.lit("\x03"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2))))
     return some.withColumn("grams", grams).select(F.explode("grams").alias("bigram"), "word", "df", F.size("grams").alias("n"))
 
 
-def build_index(docs: DataFrame, root: str, *, stemming: bool = True, title_boost: float = TITLE_BOOST, max_lexicon: int = MAX_LEXICON) -> dict:
+def build_index(docs: DataFrame, root: str, *, stemming: bool = True, title_boost: float = TITLE_BOOST, max_lexicon: int = MAX_LEXICON, empty: bool = True) -> dict:
     """Writes a new version of the index at ``root`` and publishes it; returns its statistics.
 
-    docs: url, title, body, and optionally doc_id (else dense ids in their order).
+    docs: url, title, body, and optionally doc_id (else dense ids in their order).  Without ``empty`` no document is an error.
+    Of older versions the one before stays, for those that still read it.
     """
     if not (title_boost >= 1 and title_boost != float("inf")):
         raise ValueError("title_boost must be a finite number of at least 1")
@@ -142,17 +157,22 @@ def build_index(docs: DataFrame, root: str, *, stemming: bool = True, title_boos
         if "doc_id" not in docs.columns:
             docs = dense_ids(docs, lambda df: version.save(df, "_given"))
         docs = version.save(spread(docs.select("doc_id", "url", "title", "body")).sortWithinPartitions("doc_id"), "documents")
+        if not empty and docs.isEmpty():
+            raise ValueError("no documents with text in the input")
         rows = version.save(analyzed(docs, stemming, title_boost), "_analyzed")
         version.save(rows.select("doc_id", "length"), "doc_stats")
         postings = version.save(postings_of(rows).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-        version.save(dictionary_of(postings).repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
-        lexicon = version.save(lexicon_of(rows, max_lexicon).repartitionByRange("word").sortWithinPartitions("word"), "lexicon")
+        # range partitioning runs its input twice, so what is aggregated is saved first
+        dictionary = version.save(dictionary_of(postings), "_dictionary")
+        dictionary = version.save(dictionary.repartitionByRange("term").sortWithinPartitions("term"), "dictionary")
+        lexicon = version.save(lexicon_of(version.save(words_of(rows), "_words"), max_lexicon), "_lexicon")
+        lexicon = version.save(lexicon.repartitionByRange("word").sortWithinPartitions("word"), "lexicon")
         version.save(bigrams_of(lexicon).repartitionByRange("bigram").sortWithinPartitions("bigram", "word"), "lexicon_bigrams")
         stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).crossJoin(
-            postings.agg(F.countDistinct("term").alias("terms"))).crossJoin(lexicon.agg(F.count(F.lit(1)).alias("words")))  # one row each
-        meta = stats.select("*", F.lit(FORMAT).alias("format"), F.lit(RULES_VERSION).alias("rules"), F.lit(stemming).alias("stemming"), F.lit(float(title_boost)).alias("title_boost"), F.current_timestamp().alias("created"))
+            dictionary.agg(F.count(F.lit(1)).alias("terms"))).crossJoin(lexicon.agg(F.count(F.lit(1)).alias("words")))  # one row each
+        meta = stats.select("*", F.lit(FORMAT).alias("format"), F.lit(RULES_VERSION).alias("rules"), F.lit(stemming).alias("stemming"), F.lit(float(title_boost)).alias("title_boost"), F.current_timestamp().alias("created"), F.lit(sum(version.files.size(f"{version.folder}/{name}") for name in PARTS)).alias("bytes"))
         meta = version.save(meta.coalesce(1), "meta")
-        for name in ("_given", "_analyzed"):
+        for name in ("_given", "_analyzed", "_dictionary", "_words", "_lexicon"):
             version.files.delete(f"{version.folder}/{name}")
         version.publish()
         return meta.first().asDict()

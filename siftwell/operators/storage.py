@@ -31,6 +31,9 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs(name).delete(self.path(name), True)
 
+    def size(self, name: str) -> int:
+        return self.fs(name).getContentSummary(self.path(name)).getLength()
+
     def read(self, name: str) -> str:
         if not self.fs(name).exists(self.path(name)):
             raise IndexFormatError(f"{name} doesn't exist")
@@ -72,4 +75,13 @@ class Version:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self) -> None:
-        self.files.replace(f"{self.root}/CURRENT", self.name)
+        """Makes readers open this version.  The version before stays, older ones go."""
+        now, versions = f"{self.root}/CURRENT", f"{self.root}/versions"
+        before = self.files.read(now).strip() if self.files.fs(now).exists(self.files.path(now)) else None
+        self.files.replace(now, self.name)
+        published = max((s.getModificationTime() for s in self.files.fs(versions).listStatus(self.files.path(versions)) if s.getPath().getName() == before), default=0)
+        for s in self.files.fs(versions).listStatus(self.files.path(versions)):
+            name = s.getPath().getName()
+            # a build that runs at the same time has a younger folder
+            if name not in (self.name, before) and s.getModificationTime() < published:
+                self.files.delete(f"{versions}/{name}")

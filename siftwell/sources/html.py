@@ -8,46 +8,56 @@ from html.parser import HTMLParser
 
 SKIPPED = frozenset(("script", "style", "noscript", "template", "svg", "iframe"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHARSET = re.compile(rb"<meta[^>]{0,400}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
 class _Text(HTMLParser):
+    """Skipped elements that aren't raw text end with their own end tag or with their parent's."""
+
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "iframe")
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.titles: list[str] = []
-        self.skipped = ""
-        self.depth = 0
+        self.open: list[str] = []
+        self.hidden = 0  # how many of the open elements lie above the skipped one, itself included; 0: none is skipped
         self.in_title = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.skipped:
-            self.depth += tag == self.skipped
-        elif tag in SKIPPED:
-            self.skipped, self.depth = tag, 1
-        elif tag == "title" and not self.titles:
+        if tag == "title" and not self.titles and not self.hidden:
             self.in_title = True
-        elif tag not in _INLINE:
+            return
+        if tag not in _VOID:
+            self.open.append(tag)
+            if tag in SKIPPED and not self.hidden:
+                self.hidden = len(self.open)
+        if not self.hidden and tag not in _INLINE:
             self.out.append(" ")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if not self.skipped and tag not in _INLINE and tag not in SKIPPED:
+        if not self.hidden and tag not in _INLINE and tag not in SKIPPED:
             self.out.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if self.skipped:
-            if tag == self.skipped:
-                self.depth -= 1
-                self.skipped = self.skipped if self.depth else ""
-        elif tag == "title":
+        if tag == "title":
             self.in_title = False
-        elif tag not in _INLINE:
+            return
+        if tag in self.open:
+            self._close(len(self.open) - 1 - self.open[::-1].index(tag))
+        if not self.hidden and tag not in _INLINE and tag not in SKIPPED:
             self.out.append(" ")
 
+    def _close(self, at: int) -> None:
+        del self.open[at:]
+        if len(self.open) < self.hidden:
+            self.hidden = 0
+
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.titles.append(data)
-        elif not self.skipped:
+        elif not self.hidden:
             self.out.append(data)
 
 

@@ -1,25 +1,29 @@
 """Corpora from files: text, Markdown, HTML, JSON Lines and XML; every reader returns url, title, body.
 
-``on_bad`` is "fail" or "skip".  Files that can't be parsed fail the read with their name, or
-go with what was read before the bad place kept.
+``on_bad`` is "fail" or "skip".  Files that can't be parsed fail the read with their name and line, or
+end at the bad place: what was read before it is kept.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
+from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .html import decode, extract
 
 FORMATS = {"xml": "xml", "html": "html", "htm": "html", "txt": "text", "md": "text", "markdown": "text", "jsonl": "json", "ndjson": "json"}
-_ROWS = "url string, title string, body string, part long, bad string"
+#: Where a row is from: its file, the first byte of the file's part that held it, its line or place there.
+_PLACE = "file string, block long, part long"
+_ROWS = f"url string, title string, body string, bad string, {_PLACE}"
 DEEPEST = 64
 
 
@@ -28,12 +32,21 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def truncate_body(body: Column, most: int) -> Column:
-    """At most ``most`` characters; 0 is no limit."""
-    return F.substring(body, 1, most) if most > 0 else body
+    """At most ``most`` UTF-16 units, without half a character at the end; 0 is no limit."""
+    if most <= 0:
+        return body
+    units = F.encode(body, "UTF-16BE")
+    high = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substr(units, F.lit(1), F.lit(2 * most) - F.when(high, 2).otherwise(0)), "UTF-16BE")
+    return F.when(body.rlike(r"[\x{10000}-\x{10FFFF}]"), cut).otherwise(F.substring(body, 1, most))
+
+
+def has_text(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).rlike(r"(?U)\S")
 
 
 def non_empty(docs: DataFrame) -> DataFrame:
-    return docs.filter((F.coalesce(F.trim("title"), F.lit("")) != "") | (F.coalesce(F.trim("body"), F.lit("")) != ""))
+    return docs.filter(has_text("title") | has_text("body"))
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -80,7 +93,8 @@ def parse_line(line: str) -> tuple[str, str, str]:
             depth(v, n + 1)
 
     depth(row)
-    return first_string(row, "url", "id"), first_string(row, "title"), first_string(row, "body", "text", "content")
+    body = re.sub(r"[ \t\n\x0b\f\r]+", " ", first_string(row, "body", "text", "content"))
+    return first_string(row, "url", "id"), first_string(row, "title"), body.strip()
 
 
 def parse_xml(data: bytes) -> Iterator[tuple[str, str]]:
@@ -96,21 +110,26 @@ def parse_xml(data: bytes) -> Iterator[tuple[str, str]]:
 
 
 def _json_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: Counter[tuple[str, int]] = Counter()
     for f in frames:
         out = []
-        for name, line in zip(f["url"], f["value"], strict=True):
-            line = line.removeprefix("﻿")
+        for name, block, line in zip(f["file"], f["block"], f["value"], strict=True):
+            seen[name, block] += 1
+            n = seen[name, block]
+            line = line.removeprefix("\ufeff")
             if line.strip():
                 try:
-                    out.append((*parse_line(line), 0, None))
+                    out.append((*parse_line(line), None, name, block, n))
                 except (ValueError, RecursionError) as e:
-                    out.append(("", "", "", 0, f"{name}: {str(e)[:200]} in {line[:80]!r}"))
-        yield pd.DataFrame(out, columns=["url", "title", "body", "part", "bad"])
+                    place = f"line {n}" if block == 0 else f"line {n} after byte {block}"
+                    out.append(("", "", "", f"{name}: {place}: {str(e)[:200]} in {line[:80]!r}", name, block, n))
+        yield pd.DataFrame(out, columns=["url", "title", "body", "bad", "file", "block", "part"])
 
 
 def json_documents(lines: DataFrame) -> DataFrame:
-    """url, title, body, part, bad of lines (url: where the line is from; value: the line)."""
-    return lines.select("url", "value").mapInPandas(_json_rows, _ROWS)
+    """url, title, body, bad, file, block, part of lines (file, value and, if files are read in parts, block: the part's first byte)."""
+    block = F.col("block") if "block" in lines.columns else F.lit(0).cast("long").alias("block")
+    return lines.select("file", block, "value").mapInPandas(_json_rows, _ROWS)
 
 
 def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -127,17 +146,17 @@ def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
 def _file_rows(kind: str):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, data in zip(f["url"], f["content"], strict=True):
+            for name, data in zip(f["file"], f["content"], strict=True):
                 out: list[tuple] = []
                 try:
                     if kind == "html":
-                        out.append((name, *extract(decode(data)), 0, None))
+                        out.append((name, *extract(decode(data)), None, name, 0, 0))
                     else:
                         for i, (url, page) in enumerate(parse_xml(data)):
-                            out.append((url, *extract(page), i, None))
+                            out.append((url, *extract(page), None, name, 0, i))
                 except (ValueError, ET.ParseError) as e:
-                    out.append(("", "", "", len(out), f"{name}: {e}"))
-                yield pd.DataFrame(out, columns=["url", "title", "body", "part", "bad"])
+                    out.append(("", "", "", f"{name}: {e}", name, 0, len(out)))
+                yield pd.DataFrame(out, columns=["url", "title", "body", "bad", "file", "block", "part"])
 
     return task
 
@@ -146,17 +165,30 @@ def _read(spark: SparkSession, path: str, root: str, kind: str, extension: str)
     glob = "*." + "".join(f"[{c}{c.upper()}]" for c in extension)
     single = path != root or path.lower().endswith("." + extension)
     files = spark.read if single else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    name = _relative(F.col("_metadata.file_path"), root).alias("url")
+    name = _relative(F.col("_metadata.file_path"), root).alias("file")
     if kind == "text":
         title, body = text_fields(F.col("value"))
-        return files.text(path, wholetext=True).select(name, title.alias("title"), body.alias("body"), F.lit(0).cast("long").alias("part"), F.lit(None).cast("string").alias("bad"))
+        rows = files.text(path, wholetext=True).select(name, title.alias("title"), body.alias("body"))
+        return rows.selectExpr("file as url", "title", "body", "cast(null as string) as bad", "file", "0L as block", "0L as part")
     if kind == "json":
-        return json_documents(files.text(path).select(name, "value"))
+        return json_documents(files.text(path).select(name, F.col("_metadata.file_block_start").alias("block"), "value"))
     return files.format("binaryFile").load(path).select(name, "content").mapInPandas(_file_rows(kind), _ROWS)
 
 
-def read_corpus(spark: SparkSession, paths: list[str], *, on_bad: str = "fail", max_body: int = 0) -> DataFrame:
-    """url, title, body of all documents below the paths (folders or files), empty ones left out."""
+def _until_bad(rows: DataFrame) -> DataFrame:
+    """rows without those after the first bad place of their file."""
+    place = F.struct("block", "part")
+    first = rows.filter("bad is not null").groupBy(F.col("input").alias("i"), F.col("file").alias("f")).agg(F.min(place).alias("end"))
+    rows = rows.join(first, (F.col("input") == F.col("i")) & (F.col("file") == F.col("f")), "left")
+    return rows.filter(F.col("end").isNull() | (place <= F.col("end"))).drop("i", "f", "end")
+
+
+def read_corpus(spark: SparkSession, paths: list[str], *, on_bad: str = "fail", max_body: int = 0, ordered: bool = True, counters: Observation | None = None) -> DataFrame:
+    """url, title, body of all documents below the paths (folders or files), empty ones left out.
+
+    They come in the order of the paths, then of the files' names, then as in the file, whatever the files' parts.  ``ordered=False``
+    leaves the order, and its shuffle of all texts, out.  counters gets ``empty``, documents without text, and ``bad``, files that end early.
+    """
     if on_bad not in ("fail", "skip"):
         raise ValueError("on_bad is 'fail' or 'skip'")
     from ..operators.storage import Files
@@ -181,5 +213,12 @@ def read_corpus(spark: SparkSession, paths: list[str], *, on_bad: str = "fail",
         raise ValueError("no input")
     if on_bad == "fail":
         out = out.withColumn("bad", F.when(F.col("bad").isNotNull(), F.raise_error(F.concat(F.lit("bad input: "), F.col("bad"))).cast("string")))
+    else:
+        out = _until_bad(out)
+    if ordered:
+        out = out.orderBy("input", "file", "block", "part")
+    if counters is not None:
+        empty = ~(has_text("title") | has_text("body"))
+        out = out.observe(counters, F.count_if(empty & F.col("bad").isNull()).alias("empty"), F.count_if(F.col("bad").isNotNull()).alias("bad"))
     out = non_empty(out.filter("bad is null"))
     return out.select("url", "title", truncate_body(F.col("body"), max_body).alias("body"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.build import build_index
-from ..operators.storage import Files
 
 
 def follow(stream: DataFrame, corpus: str, root: str, checkpoint: str, **how):
@@ -20,5 +19,4 @@ def follow(stream: DataFrame, corpus: str, root: str, checkpoint: str, **how):
         whole = spark.read.schema("url string, title string, body string").option("recursiveFileLookup", "true").parquet(corpus)
         build_index(whole, root, **how)
 
-    Files(spark)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
