@@ -9,10 +9,10 @@ below 1 - ``confidence``.
 
 Equal vectors form a class that is searched once; a class keeps its k + 1 smallest ids, all
 that any result can need.  Classes lie in blocks, the top cells of a kd-tree whose splits are
-fitted on at most ``sample`` classes (those with the smallest hashes); every class is assigned.  A
+fitted on about ``sample`` classes (those with the smallest hashes); every class is assigned.  A
 query searches its own block first, then the others whose box passes the same test against its k-th
-distance.  Blocks of more than ``block_rows`` classes are split by hash, queries for a block are
-dealt in chunks, so a task holds a bounded number of both.
+distance.  A vector is sent to its block only, a query to each block that it visits: a task reads a block's
+vectors, of which there are about ``block_rows`` (cells with more are split by hash), and then lets any number of queries pass by.
 
 Defined results.  Vectors that are null, zero, of another length than the commonest, or
 hold a null or non-finite component, and rows with a null id, take no part.  Repeated ids: one
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import hashing
 from .common import Workspace, small_batches
 
 
@@ -128,41 +129,61 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(queries: np.ndarray, projected: np.ndarray, kth: np.ndarray, norm2: float, x: np.ndarray, xp: np.ndarray, k: int, limit: float, leaf_rows: int = 256) -> np.ndarray:
-    """Rows of x found for each query (queries x k, -1 where there are fewer).  kth: distances already reached."""
-    leaves = tree_leaves(xp, leaf_rows)
-    low = np.array([xp[r].min(axis=0) for r in leaves])
-    high = np.array([xp[r].max(axis=0) for r in leaves])
-    q, x = queries.astype(np.float64), x.astype(np.float64)
-    q2 = (q * q).sum(axis=1) + norm2
-    best = np.full((len(q), k), np.inf)
-    found = np.full((len(q), k), -1, np.int64)
-    far = box_distances(projected, low, high)
-    order = np.argsort(far, axis=1)
-    far = np.take_along_axis(far, order, axis=1)
-    going = np.arange(len(q))
-    for turn in range(len(leaves)):
-        reached = np.minimum(best[going, k - 1], kth[going])
-        going = going[far[going, turn] <= limit * reached]
-        if not going.size:
-            break
-        at = order[going, turn]
-        for leaf in np.unique(at):
-            who, rows = going[at == leaf], leaves[leaf]
-            d = np.maximum(0, q2[who, None] - 2 * (q[who] @ x[rows].T))
-            d = np.concatenate([best[who], d], axis=1)
-            names = np.concatenate([found[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
-            some = np.argpartition(d, k - 1, axis=1)[:, :k]
-            d, names = np.take_along_axis(d, some, axis=1), np.take_along_axis(names, some, axis=1)
-            some = np.argsort(d, axis=1)
-            best[who], found[who] = np.take_along_axis(d, some, axis=1), np.take_along_axis(names, some, axis=1)
-    return found
+class Block:
+    """A block's vectors, with the leaves of a kd-tree over their projections."""
+
+    def __init__(self, x: np.ndarray, projected: np.ndarray, ids: pa.ListArray, leaf_rows: int = 256) -> None:
+        self.x, self.wide = x, x.astype(np.float64)
+        self.counts = ids.value_lengths().to_numpy().astype(np.int64)
+        self.first, self.ids = np.cumsum(self.counts) - self.counts, ids.flatten().to_numpy()
+        self.leaves = tree_leaves(projected, leaf_rows)
+        self.low = np.array([projected[r].min(axis=0) for r in self.leaves])
+        self.high = np.array([projected[r].max(axis=0) for r in self.leaves])
+
+    def search(self, queries: np.ndarray, projected: np.ndarray, kth: np.ndarray, norm2: float, k: int, limit: float) -> np.ndarray:
+        """Vectors found for each query (queries x k, -1 where there are fewer).  kth: distances already reached."""
+        q = queries.astype(np.float64)
+        q2 = (q * q).sum(axis=1) + norm2
+        best = np.full((len(q), k), np.inf)
+        found = np.full((len(q), k), -1, np.int64)
+        far = box_distances(projected, self.low, self.high)
+        order = np.argsort(far, axis=1)
+        far = np.take_along_axis(far, order, axis=1)
+        going = np.arange(len(q))
+        for turn in range(len(self.leaves)):
+            reached = np.minimum(best[going, k - 1], kth[going])
+            going = going[far[going, turn] <= limit * reached]
+            if not going.size:
+                break
+            at = order[going, turn]
+            for leaf in np.unique(at):
+                who, rows = going[at == leaf], self.leaves[leaf]
+                d = np.maximum(0, q2[who, None] - 2 * (q[who] @ self.wide[rows].T))
+                d = np.concatenate([best[who], d], axis=1)
+                names = np.concatenate([found[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
+                some = np.argpartition(d, k - 1, axis=1)[:, :k]
+                d, names = np.take_along_axis(d, some, axis=1), np.take_along_axis(names, some, axis=1)
+                some = np.argsort(d, axis=1)
+                best[who], found[who] = np.take_along_axis(d, some, axis=1), np.take_along_axis(names, some, axis=1)
+        return found
+
+    def named(self, queries: np.ndarray, found: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, score and id of the ``most`` best ids of each query's vectors."""
+        who, at = np.nonzero(found >= 0)
+        rows = found[who, at]
+        n = self.counts[rows]
+        scores, who = np.repeat(exact(queries[who], self.x[rows]), n), np.repeat(who, n)
+        ids = self.ids[hashing.ragged(self.first[rows], n)]
+        order = np.lexsort((ids, -scores, who))
+        who, scores, ids = who[order], scores[order], ids[order]
+        few = np.arange(len(who)) - np.searchsorted(who, who) < most
+        return who[few], scores[few], ids[few]
 
 
 class StableIndex:
-    def __init__(self, *, k: int = 20, dims: int = 10, confidence: float = 0.98, seed: int = 5, sample: int = 20_000, block_rows: int = 25_000, chunk: int = 4096, id_col: str = "vec_id", vector: str = "embedding") -> None:
+    def __init__(self, *, k: int = 20, dims: int = 10, confidence: float = 0.98, seed: int = 5, sample: int = 20_000, block_rows: int = 25_000, id_col: str = "vec_id", vector: str = "embedding") -> None:
         self.k, self.dims, self.confidence, self.seed = k, dims, confidence, seed
-        self.sample, self.block_rows, self.chunk = sample, block_rows, chunk
+        self.sample, self.block_rows = sample, block_rows
         self.id_col, self.vector = id_col, vector
 
     def _valid(self, vectors: DataFrame) -> tuple[DataFrame, int, float]:
@@ -205,7 +226,8 @@ class StableIndex:
         classes = work.save(one.join(few, "cls"), "classes")
 
         n = classes.count()
-        fitted = classes.select("placed").orderBy(F.xxhash64("cls")).limit(self.sample).collect()
+        hashed = F.shiftrightunsigned(F.xxhash64("cls"), 1)
+        fitted = classes.filter(hashed < int(min(1, self.sample / max(1, n)) * (2**63 - 1))).select("placed").collect()  # about ``sample`` rows
         nodes = splits(np.array([r[0] for r in fitted]), -(-n // self.block_rows))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,8 +238,8 @@ class StableIndex:
         placed = classes.mapInArrow(assign, StructType([*classes.schema.fields, StructField("cell", LongType()), StructField("home", LongType())]))
         placed = work.save(placed, "placed")
         held = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each block
-        parts = F.create_map(*[F.lit(x) for c, m in held for x in (c, -(-m // self.block_rows))])
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("cls"), parts[F.col("cell")]))
+        parts = spark.createDataFrame([(c, -(-m // self.block_rows)) for c, m in held], "cell long, parts long")
+        placed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
         each = [f(F.col("placed")[j]).alias(f"{name}{j}") for name, f in (("low", F.min), ("high", F.max)) for j in range(dims)]
         boxes = placed.groupBy("cell", "part").agg(*each).orderBy("cell", "part").collect()  # one row for each part of a block
         keys = [(b["cell"], b["part"]) for b in boxes]
@@ -226,34 +248,37 @@ class StableIndex:
         asked = rows.filter(is_query).select("cls", F.col("id").alias("query_id")).distinct()
         asked = work.save(asked, "queries")
         wanted = placed.join(asked.select("cls").distinct(), "cls", "left_semi")
-        chunks = max(1, -(-wanted.count() // self.chunk))
-        wanted = wanted.select("cls", "vector", "asked", "home", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(chunks)).alias("chunk"))
-        dealt = placed.select("cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), "ids", "vector", "placed")
-
-        def task(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            schema = pa.schema([("cls", pa.binary()), ("score", pa.float64()), ("id", pa.int64())])
-            if not len(left) or not len(right):
-                return schema.empty_table()
-            left, right = left.combine_chunks(), right.combine_chunks()
-            q, qp, kth = matrix(left["vector"].chunk(0)), matrix(left["asked"].chunk(0)), left["kth"].to_numpy()
-            x, xp, ids = matrix(right["vector"].chunk(0)), matrix(right["placed"].chunk(0)), right["ids"].to_pylist()
-            width_k = min(k + 4, len(x))
-            found = search(q, qp, kth, norm2, x, xp, width_k, limit)
-            who, at = np.nonzero(found >= 0)
-            scores = exact(q[who], x[found[who, at]])
-            names, values, out = [], [], []
-            cls = left["cls"].to_pylist()
-            for i in np.unique(who):
-                mine = who == i
-                got = sorted((-s, v) for s, row in zip(scores[mine].tolist(), found[i, at[mine]].tolist(), strict=True) for v in ids[row])[: k + 1]
-                names += [cls[i]] * len(got)
-                values += [-s for s, _ in got]
-                out += [v for _, v in got]
-            return pa.table([pa.array(names, pa.binary()), pa.array(values, pa.float64()), pa.array(out, pa.int64())], schema=schema)
+        wanted = wanted.select("cls", "vector", "asked", "home")
+        found_schema = pa.schema([("cls", pa.binary()), ("score", pa.float64()), ("id", pa.int64())])
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come in the order of blocks, a block's vectors before the queries that come to it."""
+            key, rows, block = None, [], None
+            for batch in batches:
+                at = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "kind")])
+                cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+                for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                    cell, part, kind = at[:, a].tolist() if b > a else (None, None, None)
+                    some = batch.slice(a, b - a)
+                    if b > a and (cell, part) != key:
+                        key, rows, block = (cell, part), [], None
+                    if kind == 0:
+                        rows.append(some.select(["vector", "point", "ids"]))
+                    elif kind == 1 and rows:
+                        if block is None:
+                            own = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+                            block, rows = Block(matrix(own.column(0)), matrix(own.column(1)), own.column(2)), [rows[0]]
+                        q = matrix(some.column("vector"))
+                        found = block.search(q, matrix(some.column("point")), some.column("kth").to_numpy(), norm2, min(k + 4, len(block.x)), limit)
+                        who, scores, ids = block.named(q, found, k + 1)
+                        yield pa.RecordBatch.from_arrays([some.column("cls").take(pa.array(who)), pa.array(scores), pa.array(ids)], schema=found_schema)
+
+        held = placed.select("cell", "part", F.lit(0).alias("kind"), "cls", "vector", F.col("placed").alias("point"), "ids", F.lit(None).cast("double").alias("kth"))
 
         def visit(queries: DataFrame) -> DataFrame:
-            by = ["cell", "part", "chunk"]
-            return queries.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(task, "cls binary, score double, id long")
+            come = queries.select("cell", "part", F.lit(1).alias("kind"), "cls", "vector", F.col("asked").alias("point"), F.lit(None).cast("array<long>").alias("ids"), "kth")
+            by = ("cell", "part")
+            return held.unionByName(come).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(task, "cls binary, score double, id long")
 
         def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = {}
@@ -267,7 +292,7 @@ class StableIndex:
                 yield deal(batch, np.arange(len(at)), at, np.full(len(at), np.inf))
 
         def deal(batch: pa.RecordBatch, rows_: np.ndarray, at: np.ndarray, kth: np.ndarray) -> pa.RecordBatch:
-            own = batch.select(["cls", "vector", "asked", "chunk"]).take(pa.array(rows_))
+            own = batch.select(["cls", "vector", "asked"]).take(pa.array(rows_))
             cell, part = (pa.array([keys[i][j] for i in at], pa.int64()) for j in (0, 1))
             return pa.RecordBatch.from_arrays([*own.columns, cell, part, pa.array(kth)], names=[*own.schema.names, "cell", "part", "kth"])
 
@@ -286,7 +311,7 @@ class StableIndex:
                 who, at = np.nonzero(passed)
                 yield deal(batch, who, at, np.where(np.isnan(kth), np.inf, kth)[who])
 
-        schema = "cls binary, vector array<float>, asked array<double>, chunk long, cell long, part long, kth double"
+        schema = "cls binary, vector array<float>, asked array<double>, cell long, part long, kth double"
         one = work.save(visit(wanted.mapInArrow(home, schema)), "one")
         reached = one.groupBy(F.col("cls").alias("c")).agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
         reached = reached.select("c", F.when(F.col("n") > k, F.col("kth")).alias("kth"))

@@ -8,11 +8,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftwell.llm import packing, warc_zip
+from siftwell.llm.bpe import WordTokens
 from siftwell.llm.language import LanguageModel
 from siftwell.llm.license_texts import TEMPLATES
 from siftwell.llm.licenses import LicenseScan
@@ -61,18 +64,36 @@ def test_knapsack_and_plan_are_sound():
     rng = np.random.default_rng(1)
     price = np.concatenate([[0], rng.random(12)])
     best = max(price[a] * i + price[b] * j for a in range(1, 13) for b in range(1, 13) for i in range(13) for j in range(13) if a * i + b * j <= 12)
-    assert (packing.knapsack(price) * price).sum() >= best - 1e-9
-    counts = np.zeros(65, np.int64)
-    for x in rng.integers(1, 65, 5000):
-        counts[x] += 1
-    groups, n = packing.plan(counts)
-    assert n <= packing.rounded(counts, [])[1]
-    made = np.zeros(65, np.int64)
-    for content, k in groups:
-        assert sum(content) <= 64
-        for x in content:
-            made[x] += k
-    assert (made == counts).all() and n <= 1.02 * -(-(counts * np.arange(65)).sum() // 64) + 2
+    table, choice = packing.knapsack(price)
+    assert table[12] >= best - 1e-9 and abs(sum(price[n] for n in packing.filled(choice.tolist(), 12)) - table[12]) < 1e-9
+    for capacity, lengths in ((64, rng.integers(1, 65, 5000)), (2048, rng.integers(600, 1200, 3000)), (2048, np.minimum(2048, rng.lognormal(6, 1.2, 3000).astype(int) + 1))):
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        groups, n, given = packing.plan(counts)
+        alone = sum(k for _, k in packing.best_fit(counts, []))
+        made = np.zeros(capacity + 1, np.int64)
+        for content, k in groups:
+            assert sum(content) <= capacity
+            for x in content:
+                made[x] += k
+        assert (made == counts).all() and n == sum(k for _, k in groups) <= alone and 0 <= given <= n
+
+
+def test_the_program_gives_the_sequences_of_the_tables():
+    for name, share in (("sf0.001", 0.8), ("sf0.01", 0.9)):
+        counts = np.zeros(2049, np.int64)
+        for ids in WordTokens(TOKENIZER).texts(pq.read_table(f"/root/testdata/{name}/documents.parquet")["text"].combine_chunks()):
+            counts[2048] += (len(ids) + 1) // 2048
+            counts[(len(ids) + 1) % 2048] += (len(ids) + 1) % 2048 > 0
+        groups, n, given = packing.plan(counts)
+        bound = -(-(counts * np.arange(2049)).sum() // 2048)
+        assert n <= bound + 1 and given >= share * (n - counts[2048])
+
+
+def test_token_ids_of_parts_and_long_texts():
+    tokenizer, own = Tokenizer.from_file(TOKENIZER), WordTokens(TOKENIZER)
+    texts = [t or "" for t in ODD] + ["ÀÉ×÷ß ÿŸ µª º", "$$$ heat.%%% co-op's <|ENDOFTEXT|> a<b|c", "Ab" * 24, "Ab" * 25, "long text " * 250_000 + "END.", "y" * 2_200_000 + " z"]
+    for t, ids in zip(texts, own.texts(pa.array(texts)), strict=True):
+        assert tokenizer.encode(t, add_special_tokens=False).ids == ids.tolist(), t[:40]
 
 
 def test_archives(spark, tmp_path):
@@ -148,7 +169,7 @@ def test_blocks_and_parts_change_little(spark):
     x = rng.standard_normal((600, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(set)
-    for r in StableIndex(k=5, block_rows=100, chunk=7, sample=200).nearest(vectors, F.col("id") % 20 == 0).collect():
+    for r in StableIndex(k=5, block_rows=100, sample=200).nearest(vectors, F.col("id") % 20 == 0).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = sum(len(got[i] & {int(v) for v in sorted(range(600), key=lambda v: (-float(x[v] @ x[i]), v)) if v != i for v in [v]} & set(np.argsort(-(x.astype(float) @ x[i].astype(float)), kind="stable")[:6].tolist())) for i in range(0, 600, 20))
     assert hits >= 0.9 * 5 * 30
