@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .engine import Index, build_index, open_index
 from .functions.wordlists import STOP_LATIN
 from .operators.build import tokens_of
@@ -30,7 +31,7 @@ _opened: dict[tuple, Index] = {}
 _folders: dict[str, str] = {}
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     master = spark.sparkContext.master
@@ -53,7 +54,7 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str, name: str, stemming: bool = False) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir, name, stemming)
     if key not in _opened:
-        root = f"{_shared(spark)}/{name}-{stemming}-{uuid.uuid4().hex}"
+        root = f"{shared_folder(spark)}/{name}-{stemming}-{uuid.uuid4().hex}"
         build_index(corpus(spark, sf_dir, name), root, stemming=stemming)
         _opened[key] = open_index(spark, root)
     return _opened[key]
@@ -64,8 +65,8 @@ def index(spark: SparkSession, sf_dir: str, name: str, stemming: bool = False) -
 _WORD = r"[0-9]*\p{Latin}[\p{Latin}0-9]*(?:['’]\p{Latin}[\p{Latin}0-9]*)*|[0-9]+"
 
 
-def tokens_sql(name: str) -> str:
-    """Common table expressions that end with tok (doc_id, f, raw, term, pos) and len (doc_id, length)."""
+def tokens_sql(name: str, stems: str = "term") -> str:
+    """Common table expressions that end with tok (doc_id, f, raw, term, pos) and len (doc_id, length).  stems: SQL for a term's stem."""
     source, doc_id, _, title, body = CORPORA[name]
     word = _WORD.replace("'", "''")
     return f"""
@@ -75,7 +76,7 @@ r AS (SELECT doc_id, f, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM l)
 o AS (SELECT *, replace(regexp_replace(replace(replace(strip_accents(lower(raw)), 'ß', 'ss'), '’', ''''), '''s$', ''), '''', '') AS term FROM r),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, f ORDER BY i) - 1 AS p FROM o WHERE length(term) BETWEEN 1 AND 64),
 t AS (SELECT doc_id, max(p) + 17 AS gap FROM n WHERE f = 0 GROUP BY doc_id),
-tok AS (SELECT n.doc_id, f, raw, term, p + CASE WHEN f = 0 THEN 0 ELSE coalesce(gap, 0) END AS pos FROM n LEFT JOIN t ON n.doc_id = t.doc_id),
+tok AS (SELECT n.doc_id, f, raw, {stems} AS term, p + CASE WHEN f = 0 THEN 0 ELSE coalesce(gap, 0) END AS pos FROM n LEFT JOIN t ON n.doc_id = t.doc_id),
 len AS (SELECT c.doc_id, coalesce(sum(CASE f WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE END), 0)::DOUBLE AS length FROM c LEFT JOIN tok ON c.doc_id = tok.doc_id GROUP BY c.doc_id),
 lex AS (SELECT term AS word, arg_min(lower(raw), (doc_id, pos)) AS display, count(DISTINCT doc_id) AS df FROM tok WHERE regexp_matches(term, '\\p{{L}}') GROUP BY term)"""
 
@@ -104,12 +105,12 @@ def plan_sql(plans: dict[int, tuple[Clauses, Clauses]]) -> str:
     return f"plan(q, role, c, a, s, slots, term, off) AS (VALUES {', '.join(rows)})"
 
 
-def search_sql(name: str, plan: str, first: int = 0, size: int = 10, clauses: int = 3) -> str:
+def search_sql(name: str, plan: str, first: int = 0, size: int = 10, clauses: int = 3, stems: str = "term") -> str:
     """query_id, rank, doc_id, matched, score of the plans' hits."""
     seen = ", ".join(f"max(CASE WHEN c = {i} THEN pos END) OVER w AS c{i}" for i in range(clauses))
     every = " + ".join(f"(c{i} IS NOT NULL)::INT" for i in range(clauses))
     return f"""
-WITH {tokens_sql(name)}, {plan},
+WITH {tokens_sql(name, stems)}, {plan},
 post AS (SELECT doc_id, term, (3 * count(*) FILTER (f = 0) + count(*) FILTER (f = 1))::DOUBLE AS tf FROM tok WHERE term IN (SELECT term FROM plan) GROUP BY ALL),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term),
 st AS (SELECT count(*)::DOUBLE AS n, greatest(1e-6::DOUBLE, avg(length)) AS average FROM len),
@@ -211,6 +212,16 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir, "docs").search_batch([(q, text, 0, 10, False) for q, (text, _) in asked.items()], snippets=False)[1]
 
 
+#: Searches with stems: the text and its plan, and the forms of the searched words that a text may hold.
+_STEMMED = {0: ("searching, licenses", (one("search", "licens"), [])), 1: ("released, licensed", (one("releas", "licens"), [])), 2: ("licensing -searched", (one("licens"), one("search")))}
+_FORMS = {"search": "search searches searched searching", "licens": "license licenses licensed licensing licens", "releas": "release releases released releasing releas"}
+
+
+def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = index(spark, sf_dir, "docs", True).search_batch([(q, text, 0, 50, False) for q, (text, _) in _STEMMED.items()], snippets=False)
+    return hits.select("query_id", "rank", "doc_id", "matched", F.round("score", 6).alias("score"))
+
+
 def _presented(spark: SparkSession, sf_dir: str, queries: list[str], stemming: bool) -> DataFrame:
     return index(spark, sf_dir, "docs", stemming).search_batch(list(enumerate(queries)))[0]
 
@@ -257,14 +268,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "suggest": _suggest,
         "spell_bigrams": _spell_bigrams,
         "spell_correct": _spell_correct,
-        "stemmed_search": lambda s, d: _presented(s, d, ["searching licenses", "released licensed", '"of the" worthlessness'], True).select("query_id", "rank", "doc_id", "matched", F.round("score", 6).alias("score")),
+        "stemmed_search": _stemmed,
         "highlight_excerpt": lambda s, d: _presented(s, d, ["thanedble er", "license", '"of the"'], False).select("query_id", "rank", "doc_id", "title", "snippet"),
         "html_title": lambda s, d: _html(s, d).select("page_id", "title"),
-        "html_body": _html,
+        "html_body": lambda s, d: _html(s, d).select("page_id", F.md5("body").alias("body")),
         "collapse_whitespace": _collapsed,
         "truncate_body": _truncated,
         "drop_empty": _not_empty,
         "json_aliases": _json,
+        **cases.queries(),
     }
 
 
@@ -279,7 +291,17 @@ def oracle_sql() -> dict[str, str]:
     whole = search_sql("docs", plan_sql({q: p for q, (_, p) in of.items() if p[0]}))
     head = whole[: whole.rindex("ev AS (")]
     texts = ", ".join("({}, '{}')".format(q, text.replace("'", "''")) for q, (text, _) in of.items())
-    return out | {
+    forms = "CASE " + " ".join(f"WHEN term IN ({', '.join(repr(w) for w in words.split())}) THEN '{stem}'" for stem, words in _FORMS.items()) + " ELSE term END"
+    return out | cases.oracle_sql() | {
+        "stemmed_search": search_sql("docs", plan_sql({q: p for q, (_, p) in _STEMMED.items()}), 0, 50, stems=forms),
+        "spell_correct": f"""WITH {docs}, a(query) AS (VALUES {asked}), x AS (SELECT query, word, display, df, {grams.format('query')} AS g, {grams.format('word')} AS h, damerau_levenshtein(query, word) AS d
+FROM a JOIN lex ON length(word) BETWEEN 2 AND 32 AND abs(length(word) - length(query)) <= 2 WHERE query NOT IN (SELECT word FROM lex)),
+y AS (SELECT *, len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h)))::DOUBLE AS j FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, df DESC, j DESC, word) AS r FROM y WHERE j >= 0.3 AND d <= CASE WHEN length(query) <= 4 THEN 1 ELSE 2 END)
+SELECT a.query, z.word, z.display FROM a LEFT JOIN z ON a.query = z.query AND r = 1""",
+        "html_body": r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?s)^.*?</head>|<!--.*?-->', '', 'g') AS t, html FROM pages), i AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '</?[ab]( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM b),
+u AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM i)
+SELECT page_id, md5(trim(regexp_replace(t, '[ \t\n\r\f\x{A0}]+', ' ', 'g'))) AS body FROM u""",
         "tokenize_documents": f"WITH {docs} SELECT doc_id, CASE f WHEN 0 THEN 'title' ELSE 'body' END AS field, pos::INT AS position, term, CASE WHEN regexp_matches(term, '\\p{{L}}') THEN 'LATIN' ELSE 'DIGIT' END AS script, term IN ({stops}) AS stopword FROM tok",
         "field_positions": f"WITH {chat} SELECT doc_id, CASE f WHEN 0 THEN 'title' ELSE 'body' END AS field, min(pos)::INT AS first, max(pos)::INT AS last, count(*) AS tokens FROM tok GROUP BY doc_id, f",
         "postings": f"WITH {chat} SELECT term, doc_id, (count(*) FILTER (f = 0))::INT AS title_tf, (count(*) FILTER (f = 1))::INT AS body_tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM tok GROUP BY term, doc_id",
