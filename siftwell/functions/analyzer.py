@@ -29,7 +29,7 @@ SCRIPTS = {
 #: Texts of these characters take a regular expression instead of the state machine.
 _SIMPLE = re.compile("[\x00-\xb4\xb6-ɏ–—‘’“”…]*")
 _LETTER = "A-Za-z\xaa\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_SIMPLE_WORD = re.compile(f"([0-9]*[{_LETTER}][{_LETTER}0-9]*(?:['’][{_LETTER}][{_LETTER}0-9]*)*)|[0-9]+")
+_SIMPLE_RAW = re.compile(f"[0-9]*[{_LETTER}][{_LETTER}0-9]*(?:['’][{_LETTER}][{_LETTER}0-9]*)*|[0-9]+")
 _LATIN_FOLD = str.maketrans({"’": "'", "ʼ": "'", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ς": "σ"})
 _ARABIC_FOLD = {"ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "ہ": "ه", "أ": "ا", "إ": "ا", "ٱ": "ا", "ؤ": "و"}
 _DROPPED = "ـ‎‏﻿"
@@ -146,8 +146,6 @@ _WORD = regex.compile(_word_pattern(), regex.V1)
 
 def segment(text: str) -> list[tuple[int, int, str]]:
     """Start, end and script of each word; a word never mixes scripts."""
-    if _SIMPLE.fullmatch(text):
-        return [(m.start(), m.end(), "LATIN" if m[1] is not None else "DIGIT") for m in _SIMPLE_WORD.finditer(text)]
     return [(m.start(), m.end(), m.lastgroup) for m in _WORD.finditer(text)]
 
 
@@ -190,10 +188,40 @@ def stem(script: str, normalized: str, surface: str) -> str:
     return persian(normalized) if script == "ARABIC" else surface
 
 
+class Word(NamedTuple):
+    """What a word of a simple text is, wherever it stands.  display: its form in the lexicon, if it has a place there."""
+
+    term: str
+    surface: str
+    script: str
+    stopword: bool
+    display: str | None
+
+
+@lru_cache(500_000)
+def simple_word(raw: str, stemming: bool) -> Word | None:
+    """The word, None if it makes no token."""
+    script = "DIGIT" if raw.isdecimal() else "LATIN"
+    surface = normalize(script, raw)
+    if not surface or len(surface) > MAX_TERM or not (term := stem(script, surface, surface) if stemming else surface):
+        return None
+    return Word(term, surface, script, stop(script, surface), display_form(raw) if any(_kind(c) == "L" for c in surface) else None)
+
+
+def simple_words(text: str, stemming: bool) -> list[Word] | None:
+    """The words of a text, in order, that make tokens; None if the text isn't simple."""
+    if not _SIMPLE.fullmatch(text):
+        return None
+    return [w for raw in _SIMPLE_RAW.findall(text) if (w := simple_word(raw, stemming))]
+
+
 def analyze(text: str | None, first: int = 0, stemming: bool = True) -> list[Token]:
     """The tokens of a text; positions are numbered from ``first``."""
     if not text:
         return []
+    if _SIMPLE.fullmatch(text):
+        found = ((m, simple_word(m[0], stemming)) for m in _SIMPLE_RAW.finditer(text))
+        return [Token(w.term, w.surface, m.start(), m.end(), at, w.script, w.stopword) for at, (m, w) in enumerate((x for x in found if x[1]), first)]
     words = segment(text)
     if any(w[2] == "ARABIC" for w in words):
         joined = _merged(text, [[a, b, s, None if s in BIGRAM else normalize(s, text[a:b])] for a, b, s in words])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import FIELD_GAP, RULES_VERSION, analyze, display_form, in_lexicon
+from ..functions.analyzer import FIELD_GAP, RULES_VERSION, Word, analyze, display_form, in_lexicon, simple_words
 from .storage import FORMAT, Version
 
 TITLE_BOOST = 3.0
@@ -31,6 +31,14 @@ def document_tokens(title: str, body: str, stemming: bool):
     return first, analyze(body, first[-1].position + 1 + FIELD_GAP if first else 0, stemming)
 
 
+def words_in(text: str, stemming: bool) -> list[Word]:
+    """A field's tokens without their places."""
+    found = simple_words(text, stemming)
+    if found is None:
+        found = [Word(t.term, t.surface, t.script, t.stopword, display_form(text[t.start : t.end]) if in_lexicon(t) else None) for t in analyze(text, 0, stemming)]
+    return found
+
+
 def tokens_of(docs: DataFrame, stemming: bool = True) -> DataFrame:
     """A row per token of docs (doc_id, title, body): doc_id, field, position, term, surface, start, end, script, stopword."""
     kinds = pa.schema([("doc_id", pa.int64()), ("field", pa.string()), ("position", pa.int32()), ("term", pa.string()), ("surface", pa.string()),
@@ -56,16 +64,17 @@ def analyzed(docs: DataFrame, stemming: bool = True, title_boost: float = TITLE_
             lengths, term, title_tf, body_tf, positions, word, display = ([] for _ in range(7))
             terms_to, positions_to, words_to = [0], [0], [0]
             for title, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                title, body = (title or "").strip(), (body or "").strip()
-                fields = document_tokens(title, body, stemming)
+                fields = [words_in((text or "").strip(), stemming) for text in (title, body)]
                 lengths.append(title_boost * len(fields[0]) + len(fields[1]))
                 found: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
                 seen: dict[str, str] = {}
-                for text, tokens, own in zip((title, body), fields, found, strict=True):
-                    for t in tokens:
-                        own[t.term].append(t.position)
-                        if t.surface not in seen and in_lexicon(t):
-                            seen[t.surface] = display_form(text[t.start : t.end])
+                first = 0
+                for words, own in zip(fields, found, strict=True):
+                    for at, (key, surface, _, _, shown) in enumerate(words, first):
+                        own[key].append(at)
+                        if shown is not None and surface not in seen:
+                            seen[surface] = shown
+                    first = len(words) + FIELD_GAP if words else 0
                 for k in {**found[0], **found[1]}:
                     x, y = found[0].get(k, ()), found[1].get(k, ())
                     term.append(k)
