@@ -12,7 +12,7 @@ that any result can need.  Classes lie in blocks, the top cells of a kd-tree who
 fitted on about ``sample`` classes (those with the smallest hashes); every class is assigned.  A
 query searches its own block first, then the others whose box passes the same test against its k-th
 distance.  A vector is sent to its block only, a query to each block that it visits: a task reads a block's
-vectors, of which there are about ``block_rows`` (cells with more are split by hash), and then lets any number of queries pass by.
+vectors, of which there are about ``block_rows`` (cells with more are split by hash), and then lets any number of queries pass by, ``chunk`` at a time.
 
 Defined results.  Vectors that are null, zero, of another length than the commonest, or
 hold a null or non-finite component, and rows with a null id, take no part.  Repeated ids: one
@@ -181,9 +181,9 @@ class Block:
 
 
 class StableIndex:
-    def __init__(self, *, k: int = 20, dims: int = 10, confidence: float = 0.98, seed: int = 5, sample: int = 20_000, block_rows: int = 25_000, id_col: str = "vec_id", vector: str = "embedding") -> None:
+    def __init__(self, *, k: int = 20, dims: int = 10, confidence: float = 0.98, seed: int = 5, sample: int = 20_000, block_rows: int = 25_000, chunk: int = 4096, id_col: str = "vec_id", vector: str = "embedding") -> None:
         self.k, self.dims, self.confidence, self.seed = k, dims, confidence, seed
-        self.sample, self.block_rows = sample, block_rows
+        self.sample, self.block_rows, self.chunk = sample, block_rows, chunk
         self.id_col, self.vector = id_col, vector
 
     def _valid(self, vectors: DataFrame) -> tuple[DataFrame, int, float]:
@@ -253,25 +253,39 @@ class StableIndex:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows come in the order of blocks, a block's vectors before the queries that come to it."""
-            key, rows, block = None, [], None
+            key, rows, block, waiting, n = None, [], None, [], 0
+
+            def answered() -> pa.RecordBatch:
+                nonlocal rows, block
+                if block is None:
+                    own = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+                    block, rows = Block(matrix(own.column(0)), matrix(own.column(1)), own.column(2)), [rows[0]]
+                some = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                q = matrix(some.column("vector"))
+                found = block.search(q, matrix(some.column("point")), some.column("kth").to_numpy(), norm2, min(k + 4, len(block.x)), limit)
+                who, scores, ids = block.named(q, found, k + 1)
+                return pa.RecordBatch.from_arrays([some.column("cls").take(pa.array(who)), pa.array(scores), pa.array(ids)], schema=found_schema)
+
             for batch in batches:
                 at = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "kind")])
                 cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
                 for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                    cell, part, kind = at[:, a].tolist() if b > a else (None, None, None)
-                    some = batch.slice(a, b - a)
-                    if b > a and (cell, part) != key:
+                    if a == b:
+                        continue
+                    cell, part, kind = at[:, a].tolist()
+                    if waiting and ((cell, part) != key or n >= self.chunk):
+                        yield answered()
+                        waiting, n = [], 0
+                    if (cell, part) != key:
                         key, rows, block = (cell, part), [], None
+                    some = batch.slice(a, b - a)
                     if kind == 0:
                         rows.append(some.select(["vector", "point", "ids"]))
-                    elif kind == 1 and rows:
-                        if block is None:
-                            own = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-                            block, rows = Block(matrix(own.column(0)), matrix(own.column(1)), own.column(2)), [rows[0]]
-                        q = matrix(some.column("vector"))
-                        found = block.search(q, matrix(some.column("point")), some.column("kth").to_numpy(), norm2, min(k + 4, len(block.x)), limit)
-                        who, scores, ids = block.named(q, found, k + 1)
-                        yield pa.RecordBatch.from_arrays([some.column("cls").take(pa.array(who)), pa.array(scores), pa.array(ids)], schema=found_schema)
+                    elif rows:
+                        waiting.append(some)
+                        n += b - a
+            if waiting:
+                yield answered()
 
         held = placed.select("cell", "part", F.lit(0).alias("kind"), "cls", "vector", F.col("placed").alias("point"), "ids", F.lit(None).cast("double").alias("kth"))
 
