@@ -91,18 +91,18 @@ class ZipPackage:
         for _ in range(n):
             if entries[at : at + 4] != b"PK\x01\x02":
                 raise ZipError(f"entry at {start + at} isn't a central directory header")
+            if len(entries) < at + 46:
+                raise ZipError("the central directory ends within an entry")
             flags, method = struct.unpack_from("<HH", entries, at + 8)
             crc, packed, full, name_n, extra_n, note_n = struct.unpack_from("<IIIHHH", entries, at + 16)
             offset = struct.unpack_from("<I", entries, at + 42)[0]
             name = entries[at + 46 : at + 46 + name_n].decode("utf-8" if flags & 0x800 else "cp437")
             extra = entries[at + 46 + name_n : at + 46 + name_n + extra_n]
-            wide = self._zip64(extra)
-            if full == _NONE32:
-                full = wide.pop(0)
-            if packed == _NONE32:
-                packed = wide.pop(0)
-            if offset == _NONE32:
-                offset = wide.pop(0)
+            wide = iter(self._zip64(extra))
+            try:
+                full, packed, offset = (next(wide) if x == _NONE32 else x for x in (full, packed, offset))
+            except (StopIteration, RuntimeError) as e:
+                raise ZipError(f"{name} lacks its ZIP64 sizes") from e
             yield name, {"method": method, "crc": crc, "packed": packed, "size": full, "offset": offset, "encrypted": bool(flags & 1)}
             at += 46 + name_n + extra_n + note_n
 
@@ -111,6 +111,8 @@ class ZipPackage:
         at = 0
         while at + 4 <= len(extra):
             kind, n = struct.unpack_from("<HH", extra, at)
+            if kind == 1 and at + 4 + n > len(extra):
+                raise ZipError("a ZIP64 field ends early")
             if kind == 1:
                 return list(struct.unpack_from(f"<{n // 8}Q", extra, at + 4))
             at += 4 + n
@@ -212,7 +214,10 @@ def write(rows: DataFrame, folder: str, *, id_col: str = "page_id", url: str = "
             made = package(held)
             with fs.open_output_stream(own) as f:
                 f.write(made)
-            fs.move(own, f"{name}-{n:04d}.zip")
+            final = f"{name}-{n:04d}.zip"
+            if fs.get_file_info(final).type != pa.fs.FileType.NotFound:
+                fs.delete_file(final)  # of an attempt that was lost
+            fs.move(own, final)
             return pa.RecordBatch.from_pylist([{"path": f"{folder}/part-{at.partitionId():06d}-{n:04d}.zip", "records": len(held), "bytes": len(made)}], schema)
 
         schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])

@@ -128,6 +128,11 @@ def test_zip64_and_broken_packages():
     z = warc_zip.ZipPackage(io.BytesIO(body + entry + end64 + tail))
     at, n = z.stored("m")
     assert z.read(at, n) == b"data"
+    # a ZIP64 field that lacks its offset, and one that ends early
+    for cut, most in ((struct.pack("<HHQQ", 1, 16, 4, 4) + struct.pack("<HHI", 9, 4, 0), 28), (struct.pack("<HHQQQ", 1, 32, 4, 4, 0), 28)):
+        short = entry[:-28] + cut[:most]
+        with pytest.raises(warc_zip.ZipError):
+            warc_zip.ZipPackage(io.BytesIO(body + short + end64 + tail))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as f:
         f.writestr("m", b"x" * 100)
@@ -169,7 +174,7 @@ def test_blocks_and_parts_change_little(spark):
     x = rng.standard_normal((600, 8)).astype(np.float32)
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(set)
-    for r in StableIndex(k=5, block_rows=100, sample=200).nearest(vectors, F.col("id") % 20 == 0).collect():
+    for r in StableIndex(k=5, block_rows=100, chunk=7, sample=200).nearest(vectors, F.col("id") % 20 == 0).collect():
         got[r["query_id"]].add(r["vec_id"])
     hits = sum(len(got[i] & {int(v) for v in sorted(range(600), key=lambda v: (-float(x[v] @ x[i]), v)) if v != i for v in [v]} & set(np.argsort(-(x.astype(float) @ x[i].astype(float)), kind="stable")[:6].tolist())) for i in range(0, 600, 20))
     assert hits >= 0.9 * 5 * 30
