@@ -85,6 +85,11 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs clashes with a helper's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def n_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import hashing
-from .common import small_batches
+from .common import small_batches, whole_row
 
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi", "romance": "fr es it pt ro ca gl oc rm",
@@ -114,11 +114,11 @@ class LanguageModel:
     def fit(self, docs: DataFrame, label: str = "lang") -> LanguageModel:
         """docs: rows to learn from."""
         small_batches(docs.sparkSession)
-        rows = docs.filter(F.col(label).isNotNull() & F.col(self.text).isNotNull() & F.col(self.id_col).isNotNull())
-        h = F.xxhash64(self.id_col, F.lit(self.seed))
-        n = max(1, rows.select(label).distinct().count())
-        each = max(20, self.sample // n)
-        some = rows.select(F.col(self.id_col).alias("_id"), F.col(label).cast("string").alias("_lang"))
+        rows = docs.select(F.col(self.id_col).alias("own"), F.col(label).cast("string").alias("lang"), F.col(self.text).cast("string").alias("text"))
+        rows = rows.filter("own is not null and lang is not null and text is not null")
+        n = max(1, rows.select("lang").distinct().count())
+        each = max(1, self.sample // n)
+        some = rows.select(F.col("own").alias("_id"), F.col("lang").alias("_lang"))
         # a language may have a third of all rows: first the smallest hashes of 64 shares of it, some eight times what a
         # share can expect to give, then the smallest of those
         some = some.withColumn("_h", F.xxhash64("_id", F.lit(self.seed))).withColumn("_share", F.pmod("_h", F.lit(64)))
@@ -126,33 +126,34 @@ class LanguageModel:
             order = Window.partitionBy(*by).orderBy("_h", "_id")
             most = each if by == ["_lang"] else min(each, 64 + each // 8)
             some = some.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
-        some = some.select("_id").distinct()
+        some = some.orderBy("_h", "_id").limit(self.sample).select("_id").distinct()  # more than these only if labels are more
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 packed = [r.astype(np.float16).tobytes() for _, x in features(batch.column(2)) for r in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["h", "lang", "x"])
 
-        taken = rows.join(F.broadcast(some), F.col(self.id_col) == F.col("_id"), "left_semi")
-        taken = taken.select(h.alias("h"), F.col(label).cast("string").alias("lang"), F.col(self.text).cast("string").alias("text"))
-        got = sorted(tuple(r) for r in taken.mapInArrow(task, "h long, lang string, x binary").collect())  # at most about ``sample`` rows
+        taken = rows.join(F.broadcast(some), F.col("own") == F.col("_id"), "left_semi").select(F.xxhash64("own", F.lit(self.seed)).alias("h"), "lang", "text")
+        one = taken.mapInArrow(task, "h long, lang string, x binary").groupBy("h").agg(F.min(F.struct("lang", "x")).alias("r"))  # one row for a repeated id
+        got = sorted(tuple(r) for r in one.select("h", "r.lang", "r.x").collect())  # at most ``sample`` rows
         x = np.array([np.frombuffer(g[2], np.float16) for g in got], np.float32).reshape(len(got), BUCKETS)
         return self.fit_arrays(x, np.array([g[1] for g in got]))
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """docs with lang_pred and score."""
         small_batches(docs.sparkSession)
-        names, families, within = docs.columns, self.families, self.within
-        schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-        rows = docs.withColumns({"_text": F.col(self.text).cast("string"), "_letter": F.coalesce(F.col(self.text).cast("string").rlike(r"\p{L}"), F.lit(False))})
+        families, within = self.families, self.within
+        schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+        text = F.col(self.text).cast("string")
+        rows = docs.select(whole_row(docs).alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.num_rows
                 lang, score = np.full(n, "und", object), np.zeros(n)
-                letter = batch.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
+                letter = batch.column("letter").to_numpy(zero_copy_only=False).astype(bool)
                 if families is not None:
-                    for first, x in features(batch.column("_text")):
+                    for first, x in features(batch.column("text")):
                         f, sure = families.predict(x)
                         for c in np.unique(f):
                             model = within[families.classes[c]]
@@ -161,7 +162,6 @@ class LanguageModel:
                             lang[first + own] = np.array(model.classes, object)[best]
                             score[first + own] = np.minimum(sure[own], more)
                 lang[~letter], score[~letter] = "und", 0.0
-                kept = batch.select(names)
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-        return rows.mapInArrow(task, schema)
+        return rows.mapInArrow(task, schema).select("row.*", "lang_pred", "score")

@@ -11,8 +11,8 @@ Frequent lines are removed; a document that loses almost all of its text is reje
 Plan: one pass over the texts computes all figures and line hashes and saves them (no
 text).  Counting shuffles hashes by (host, line, digest of the line set), which spreads even a line that
 stands in every document, then partial counts by (host, line).  The frequent lines are
-broadcast, by host, if they are at most ``broadcast_lines``; else hashes are joined by
-shuffle, with adaptive splitting of hot keys.
+broadcast if they are at most ``broadcast_lines``, and as lists by host if none has more than ``host_lines``; else hashes
+are joined by shuffle, with adaptive splitting of hot keys.
 
 Defined results.  Null text: no words, hence failed.  Null host: a host of its own.  Null or
 repeated doc_id, repeated rows: each row gets its own result row; equal rows equal results.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, let
+from .common import WORD, Workspace, let, whole_row
 
 _SYMBOLS = "#*$%&|<>"
 _OTHER_SPACE = ("'\\t'", "'\\n'", "char(11)", "char(12)", "'\\r'")
@@ -79,7 +79,7 @@ def _key(id_col: str, text: str, host: str) -> str:
 
 class LineRules:
     def __init__(self, *, text: str = "text", host: str = "source", id_col: str = "doc_id", min_words: int = 20, repeat_percent: int = 30,
-                 max_documents: int = 20, max_percent: int = 2, always_documents: int = 1_000, depleted_percent: int = 80, depleted_chars: int = 100, broadcast_lines: int = 100_000) -> None:
+                 max_documents: int = 20, max_percent: int = 2, always_documents: int = 1_000, depleted_percent: int = 80, depleted_chars: int = 100, broadcast_lines: int = 100_000, host_lines: int = 200) -> None:
         """A line is frequent above ``max_documents`` and above ``max_percent`` of its host's documents, or above
         ``always_documents`` whatever the share.  A document
         is depleted if at least ``depleted_percent`` of its characters go and fewer than ``depleted_chars`` stay."""
@@ -87,7 +87,7 @@ class LineRules:
         self.min_words, self.repeat_percent = min_words, repeat_percent
         self.max_documents, self.max_percent, self.always_documents = max_documents, max_percent, always_documents
         self.depleted_percent, self.depleted_chars = depleted_percent, depleted_chars
-        self.broadcast_lines = broadcast_lines
+        self.broadcast_lines, self.host_lines = broadcast_lines, host_lines
 
     def figures(self, docs: DataFrame) -> DataFrame:
         """A row per document: id, host, key and the figures of the text, with its line hashes."""
@@ -97,8 +97,8 @@ class LineRules:
             F.expr(_key(self.id_col, self.text, self.host)).alias("key"), F.expr(_figures().replace("{text}", text)).alias("f"))
         return made.select("doc_id", "host", "key", "f.*")
 
-    def frequent(self, work: Workspace, figures: DataFrame) -> tuple[DataFrame, int]:
-        """The frequent lines (host, line, documents), saved, and their number."""
+    def frequent(self, work: Workspace, figures: DataFrame) -> tuple[DataFrame, int, int]:
+        """The frequent lines (host, line, documents), saved, their number, and that of the host with most."""
         own = figures.select("host", F.array_sort(F.array_distinct("lines.line")).alias("own"))
         digest = F.expr("unhex(md5(cast(array_join(transform(own, x -> hex(x)), '') as binary)))")
         pairs = own.withColumn("digest", digest).select("host", F.explode("own").alias("line"), "digest")
@@ -111,15 +111,20 @@ class LineRules:
         share = 100 * F.col("documents") > self.max_percent * F.col("host_documents")
         out = out.filter(share | (F.col("documents") > self.always_documents))
         out = work.save(out.select("host", "line", "documents"), "frequent")
-        return out, out.count()
+        n = out.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        return out, n[0], n[1]
 
-    def _mark(self, rows: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
-        """Adds ``gone``, the frequent lines of the row's document.  rows: with host, key and lines."""
-        if n <= self.broadcast_lines:
+    def _mark(self, rows: DataFrame, frequent: DataFrame, n: int, most: int) -> DataFrame:
+        """Adds ``gone``, the frequent lines of the row's document.  rows: with host, key and lines.
+
+        A host's lines, if it has few, go onto its rows; else lines and frequent lines are joined.
+        """
+        if n <= self.broadcast_lines and most <= self.host_lines:
             by_host = frequent.groupBy(F.col("host").alias("h")).agg(F.collect_list("line").alias("gone"))
             return rows.join(F.broadcast(by_host), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
         each = rows.select("host", "key", F.explode(F.array_distinct("lines.line")).alias("line"))
         frequent = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"))
+        frequent = F.broadcast(frequent) if n <= self.broadcast_lines else frequent
         hit = each.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
         gone = hit.groupBy(F.col("key").alias("k")).agg(F.collect_set("line").alias("gone"))
         return rows.join(gone, F.col("key") == F.col("k"), "left").drop("k")
@@ -128,9 +133,9 @@ class LineRules:
         """A row per row of docs: doc_id, host, key, the figures, base_failed, n_removed_chars, kept."""
         work = Workspace(docs.sparkSession, "lines")
         figures = work.save(self.figures(docs), "figures")
-        frequent, n = self.frequent(work, figures)
+        frequent, n, most = self.frequent(work, figures)
         removed = F.expr("cast(aggregate(filter(lines, l -> array_contains(gone, l.line)), 0, (a, l) -> a + l.chars) as bigint)")
-        out = self._mark(figures, frequent, n).withColumn("n_removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
+        out = self._mark(figures, frequent, n, most).withColumn("n_removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
         return self._judge(out).drop("lines", "gone")
 
     def _judge(self, out: DataFrame) -> DataFrame:
@@ -143,13 +148,14 @@ class LineRules:
         """The kept documents, all their columns, the text without its frequent lines."""
         work = Workspace(docs.sparkSession, "lines")
         figures = work.save(self.figures(docs), "figures")
-        frequent, n = self.frequent(work, figures)
+        frequent, n, most = self.frequent(work, figures)
         removed = F.expr("cast(aggregate(filter(lines, l -> array_contains(gone, l.line)), 0, (a, l) -> a + l.chars) as bigint)")
-        marked = self._mark(figures, frequent, n).withColumn("n_removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
+        marked = self._mark(figures, frequent, n, most).withColumn("n_removed_chars", F.coalesce(removed, F.lit(0).cast("long")))
         keys = self._judge(marked).filter("kept").select(
             F.col("key").alias("_key"), F.when(F.col("n_removed_chars") > 0, F.expr("array_intersect(lines.line, gone)")).alias("_gone"))
         keys = keys.groupBy("_key").agg(F.first("_gone").alias("_gone"))
         at = self.text
-        rows = docs.withColumn("_own", F.expr(_key(self.id_col, at, self.host))).join(keys, F.col("_own") == F.col("_key"))
-        left = F.expr(f"array_join(filter(split(`{at}`, '\\n'), l -> not coalesce(array_contains(_gone, unhex(md5({normalised('l')}))), false)), '\\n')")
-        return rows.withColumn(at, F.when(F.col("_gone").isNull(), F.col(at)).otherwise(left)).select(*docs.columns)
+        rows = docs.select(whole_row(docs).alias("row"), F.expr(_key(self.id_col, at, self.host)).alias("_own")).join(keys, F.col("_own") == F.col("_key"))
+        left = F.expr(f"array_join(filter(split(row.`{at}`, '\\n'), l -> not coalesce(array_contains(_gone, unhex(md5({normalised('l')}))), false)), '\\n')")
+        text = F.when(F.col("_gone").isNull(), F.col(f"row.`{at}`")).otherwise(left)
+        return rows.select(*[text.alias(c) if c == at else F.col(f"row.`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ saved tables, so that adaptive execution splits a hot key.
 
 Defined results.  Null or empty text, or one without words: no shingles, linked with nothing.  Null
 id: linked with nothing, component null, kept.  Repeated ids: rows of one id are one node, so
-their texts' components join; each row gets a result row.  Empty table: empty result.  Extra columns:
+their texts' components join; each row gets a result row (``dedup`` tells an id's texts apart).  Empty table: empty result.  Extra columns:
 ignored by ``components_of``, kept by ``dedup``.
 """
 
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Workspace, small_batches
+from .common import Workspace, small_batches, whole_row
 from .stars import star_components
 
 
@@ -315,7 +315,16 @@ class MinHash:
         return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        """The documents that stay, all their columns: one row for each component; rows with a null id stay."""
-        kept = self.components_of(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-        some = docs.filter(F.col(self.id_col).isNotNull()).join(kept, F.col(self.id_col) == F.col("_kept"), "left_semi").dropDuplicates([self.id_col])
-        return some.unionByName(docs.filter(F.col(self.id_col).isNull())).select(*docs.columns)
+        """The documents that stay, all their columns: one row for each component; rows with a null id stay.
+
+        If ids are repeated, each different text of an id is a node of its own, so that none goes but for its own likes.
+        """
+        if docs.filter(F.col(self.id_col).isNotNull()).groupBy(self.id_col).count().filter("count > 1").isEmpty():
+            node = F.col(self.id_col).cast("long")
+        else:
+            node = F.when(F.col(self.id_col).isNotNull(), F.xxhash64(self.id_col, F.col(self.text).cast("string")))
+        rows = docs.select(node.alias("node"), F.col(self.text).alias("text"), whole_row(docs).alias("row"))
+        own = MinHash(shingle=self.k, percent=self.percent, rows=self.rows, seed=self.seed, text="text", id_col="node", broadcast_ids=self.broadcast_ids, rare=self.rare)
+        kept = own.components_of(rows).filter("kept").select(F.col("doc_id").alias("one")).distinct()
+        some = rows.filter("node is not null").join(kept, F.col("node") == F.col("one"), "left_semi").dropDuplicates(["node"])
+        return some.unionByName(rows.filter("node is null")).select("row.*")

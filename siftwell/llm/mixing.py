@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, n_words
+from .common import Workspace, n_words, whole_row
 
 #: Offsets are odd multiples of 2^-17, so that they stay clear of integer boundaries.
 _OFFSET = "(conv(substr(md5(concat(coalesce(source, ''), '{seed}')), 1, 4), 16, 10) + 0.5D) / 65536.0D"
@@ -82,14 +82,29 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", id_col:
 
 def expand(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The mixed documents, all their columns: each as often as it was taken."""
+    work = Workspace(docs.sparkSession, "expand")
     key = F.xxhash64(F.col(id_col), F.col(source).cast("string"), n_words(F.col(text)))
     taken = mix(docs, id_col=id_col, source=source, text=text, **how)
     taken = taken.select(F.xxhash64("doc_id", "source", "size").alias("_key"), "copies")
-    taken = taken.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_own", key).join(taken.filter("_copies > 0"), F.col("_own") == F.col("_key"))
-    # equal keys are repeated rows; they share their copies as evenly as whole numbers allow
-    turn = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("_own").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
-    rows = rows.withColumn("_turn", turn)
-    copies = F.floor(F.col("_copies") * F.col("_turn") / F.col("_rows")) - F.floor(F.col("_copies") * (F.col("_turn") - 1) / F.col("_rows"))
-    rows = rows.withColumn("_n", copies.cast("int")).filter("_n > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    taken = taken.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    taken = work.save(taken, "taken")
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("_own")).join(taken, F.col("_own") == F.col("_key"))
+    single = rows.filter("_rows = 1").withColumn("_n", F.col("_copies").cast("int"))
+    if taken.filter("_rows > 1").isEmpty():
+        return _repeated(single)
+    # rows of one key share its copies as evenly as whole numbers allow, by ranks from range partitions: a key may have any number of rows
+    many = rows.filter("_rows > 1").withColumn("_hash", F.xxhash64("row")).withColumn("_at", F.monotonically_increasing_id())
+    many = work.save(work.save(many, "given").repartitionByRange("_own", "_hash", "_at").withColumn("_part", F.spark_partition_id()), "many")
+    work.drop("given")
+    parts = many.groupBy(F.col("_own").alias("_o"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(Window.partitionBy("_o").orderBy("_p")) - F.col("_m")  # a row for each partition that holds the key
+    many = many.join(parts.withColumn("_before", before), (F.col("_own") == F.col("_o")) & (F.col("_part") == F.col("_p")))
+    turn = F.col("_before") + F.row_number().over(Window.partitionBy("_own", "_part").orderBy("_hash", "_at"))
+    share = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
+    many = many.withColumn("_turn", turn).withColumn("_n", (share(F.col("_turn")) - share(F.col("_turn") - 1)).cast("int"))
+    return _repeated(single.select("row", "_n").unionByName(many.select("row", "_n")))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The whole rows, ``_n`` times each."""
+    return rows.filter("_n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

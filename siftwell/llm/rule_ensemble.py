@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import WORD, let, whole_row
 
 _COUNT = "(length(t) - length(regexp_replace(t, r'{0}', '')))"
 #: name -> SQL over the text t, its words w and its lines ls
@@ -137,11 +137,13 @@ class RuleEnsemble:
         return self
 
     def fit(self, docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleEnsemble:
-        """labels: rows to learn from, with the id and the label."""
+        """labels: rows to learn from, with the id and the label.  An id with both labels counts as 1; of its texts the one with the least statistics counts."""
         some = labels.select(F.col(self.id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
         some = some.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(self.sample)
-        rows = docs.join(F.broadcast(some), F.col(self.id_col) == F.col("_id")).select(F.col("_id"), statistics(self.text).alias("x"), "_y")
-        got = sorted((r["_id"], list(r["x"]), r["_y"]) for r in rows.collect())  # at most ``sample`` ids
+        rows = docs.select(F.col(self.id_col).alias("own"), F.col(self.text).alias("text"))
+        rows = rows.join(F.broadcast(some), F.col("own") == F.col("_id")).select("_id", statistics("text").alias("x"), "_y")
+        rows = rows.groupBy("_id").agg(F.min("x").alias("x"), F.first("_y").alias("_y"))  # one row for a repeated id
+        got = sorted((r["_id"], list(r["x"]), r["_y"]) for r in rows.collect())  # at most ``sample`` rows
         return self.fit_arrays(np.array([g[1] for g in got]).reshape(len(got), len(STATISTICS)), np.array([g[2] for g in got], float))
 
     def score_sql(self, x: str = "x") -> str:
@@ -151,4 +153,5 @@ class RuleEnsemble:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs with a column score."""
-        return docs.withColumn("_x", statistics(self.text)).withColumn("score", F.expr(let("_x", "x", self.score_sql()))).drop("_x")
+        rows = docs.select(whole_row(docs).alias("row"), statistics(self.text).alias("given"))
+        return rows.select("row.*", F.expr(let("given", "x", self.score_sql())).alias("score"))

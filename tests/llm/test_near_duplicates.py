@@ -59,6 +59,9 @@ def test_dedup_keeps_columns_and_one_of_each(spark):
     out = MinHash().dedup(docs)
     assert out.columns == docs.columns
     assert {(r["doc_id"], r["kept"]) for r in out.collect()} == {(1, "x"), (3, None), (None, "n")}
+    again = docs.unionByName(spark.createDataFrame([(3, "unlike the others by far", "z"), (3, "other words", "w")], docs.schema))
+    got = [(r["doc_id"], r["text"][:6]) for r in MinHash().dedup(again).collect()]
+    assert sorted(got, key=str) == sorted([(got[0][0] if got[0][0] in (1, 2) else next(i for i, t in got if i in (1, 2)), "a0 a1 "), (3, "other "), (3, "unlike"), (None, "a0 a1 ")], key=str)
 
 
 def test_empty_table(spark):

@@ -38,12 +38,12 @@ def test_figures_of_quality_rules(spark):
     assert all(not r["kept"] for r in got if r["base_failed"])
 
 
-@pytest.mark.parametrize("broadcast_lines", [100_000, 0])
-def test_frequent_lines_go(spark, broadcast_lines):
+@pytest.mark.parametrize("limits", [{}, {"host_lines": 0}, {"broadcast_lines": 0}])
+def test_frequent_lines_go(spark, limits):
     body = lambda i: " ".join(f"w{i * 31 + j}" for j in range(30))
     rows = [(i, f"Common  Line here\n{body(i)}\nsee you", "h") for i in range(30)] + [(i, "common line HERE\n" + "see you " * 12, "h") for i in (50, 51)] + [(i, f"common line here\n{body(i)}", "g") for i in range(60, 64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    rules = LineRules(broadcast_lines=broadcast_lines)
+    rules = LineRules(**limits)
     out = {r["doc_id"]: r["text"] for r in rules.clean(docs).collect()}
     assert out[0] == body(0) and out[60] == rows[-4][1]  # 4 documents of a host aren't many
     assert rules.clean(docs.limit(0)).count() == 0
@@ -80,6 +80,9 @@ def test_mixing(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))  # reruns agree
     out = mixing.expand(docs)
     assert out.columns == docs.columns and sum(len(WORD.findall(r["text"] or "")) for r in out.collect()) == sum(taken.values())
+    same = spark.createDataFrame([(None, "x y", "s", i % 2) for i in range(60)] + [(7, "z", "t", 0)], "doc_id long, text string, source string, kind int").repartition(3)
+    whole = mixing.mix(same).agg({"copies": "sum"}).first()[0]
+    assert mixing.expand(same).count() == whole  # rows of one key share its copies
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.expand(docs.limit(0)).count() == 0
 
 
