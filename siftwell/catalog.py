@@ -222,8 +222,39 @@ def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "doc_id", "matched", F.round("score", 6).alias("score"))
 
 
-def _presented(spark: SparkSession, sf_dir: str, queries: list[str], stemming: bool) -> DataFrame:
-    return index(spark, sf_dir, "docs", stemming).search_batch(list(enumerate(queries)))[0]
+_EXCERPTS = {0: ("thanedble, er", (one("thanedble", "er"), [])), 1: ("license", (one("license"), [])), 2: ('"of the"', (quoted("of", "the"), []))}
+
+
+def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, _ = index(spark, sf_dir, "docs").search_batch([(q, text, 0, 20, False) for q, (text, _) in _EXCERPTS.items()])
+    marks = F.concat_ws(",", F.transform("snippet.highlights", lambda h: F.concat(h["start"], F.lit("-"), h["end"])))
+    return hits.select("query_id", "rank", "doc_id", F.col("snippet.text").alias("snippet"), marks.alias("marks"))
+
+
+def excerpts_sql() -> str:
+    """The excerpts, worked out from the places of words, which come from splitting texts into words and single characters."""
+    word = _WORD.replace("'", "''")
+    terms = ", ".join(f"({q}, '{slot[0]}')" for q, (_, (required, _)) in _EXCERPTS.items() for clause in required for alternative in clause for slot in alternative)
+    fold = "replace(regexp_replace(replace(replace(strip_accents(lower(w)), 'ß', 'ss'), '’', ''''), '''s$', ''), '''', '')"
+    return rf"""
+WITH hits AS ({search_sql("docs", plan_sql({q: p for q, (_, p) in _EXCERPTS.items()}), 0, 20)}), terms(q, term) AS (VALUES {terms}),
+x AS (SELECT query_id, rank, h.doc_id, trim(text) AS t, length(trim(text)) AS n FROM hits h JOIN documents d ON h.doc_id = d.doc_id),
+l AS (SELECT query_id, rank, regexp_extract_all(t, '{word}|(?s:.)') AS l FROM x), w AS (SELECT query_id, rank, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM l),
+places AS (SELECT *, (sum(length(w)) OVER (PARTITION BY query_id, rank ORDER BY i) - length(w))::BIGINT AS a FROM w),
+m AS (SELECT query_id, rank, {fold} AS term, a, a + length(w) AS e FROM places WHERE length(w) > 1),
+f AS (SELECT m.*, row_number() OVER (PARTITION BY query_id, rank ORDER BY a) AS k FROM m JOIN terms ON q = query_id AND terms.term = m.term),
+c AS (SELECT f.query_id, f.rank, f.k, f.a, f.e, count(DISTINCT g.term) AS seen FROM f JOIN f g ON g.query_id = f.query_id AND g.rank = f.rank AND g.k >= f.k AND g.k <= 256 AND g.e <= greatest(0, f.a - 60) + 240 WHERE f.k <= 256 GROUP BY ALL),
+b AS (SELECT query_id, rank, arg_max(a, (seen, -k)) AS fa, arg_max(e, (seen, -k)) AS fe FROM c GROUP BY query_id, rank),
+s AS (SELECT x.*, fa, fe, least(greatest(0, fa - 60), n - 240) AS lo FROM x JOIN b ON x.query_id = b.query_id AND x.rank = b.rank),
+u AS (SELECT *, least(n, lo + 240) AS hi, length(regexp_extract(substr(t, lo, fa - lo), '^\S*\s')) AS skip FROM s),
+v AS (SELECT *, substr(t, fe + 2, hi - fe) AS tail FROM u),
+y AS (SELECT *, CASE WHEN n <= 240 THEN 0 WHEN lo > 0 AND skip > 0 THEN lo - 1 + skip ELSE lo END AS lo2,
+ CASE WHEN n <= 240 THEN n WHEN hi < n AND regexp_matches(tail, '\s\S*\n?$') THEN fe + 1 + length(tail) - length(regexp_extract(tail, '\s\S*\n?$')) ELSE hi END AS hi2 FROM v),
+z AS (SELECT *, lo2 + length(regexp_extract(substr(t, lo2 + 1, hi2 - lo2), '^\s*')) AS lo3, regexp_replace(substr(t, lo2 + 1, hi2 - lo2), '^\s+|\s+$', '', 'g') AS body FROM y),
+o AS (SELECT *, CASE WHEN lo3 > 0 THEN '…' ELSE '' END AS before, lo3 + length(body) AS hi3 FROM z)
+SELECT o.query_id, o.rank, o.doc_id, before || body || CASE WHEN hi3 < n THEN '…' ELSE '' END AS snippet,
+coalesce(string_agg((f.a - lo3 + length(before))::BIGINT || '-' || (f.e - lo3 + length(before))::BIGINT, ',' ORDER BY f.a), '') AS marks
+FROM o LEFT JOIN f ON f.query_id = o.query_id AND f.rank = o.rank AND f.a >= lo3 AND f.e <= hi3 GROUP BY o.query_id, o.rank, o.doc_id, before, body, hi3, n"""
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spell_bigrams": _spell_bigrams,
         "spell_correct": _spell_correct,
         "stemmed_search": _stemmed,
-        "highlight_excerpt": lambda s, d: _presented(s, d, ["thanedble er", "license", '"of the"'], False).select("query_id", "rank", "doc_id", "title", "snippet"),
+        "highlight_excerpt": _excerpts,
         "html_title": lambda s, d: _html(s, d).select("page_id", "title"),
         "html_body": lambda s, d: _html(s, d).select("page_id", F.md5("body").alias("body")),
         "collapse_whitespace": _collapsed,
@@ -293,6 +324,7 @@ def oracle_sql() -> dict[str, str]:
     texts = ", ".join("({}, '{}')".format(q, text.replace("'", "''")) for q, (text, _) in of.items())
     forms = "CASE " + " ".join(f"WHEN term IN ({', '.join(repr(w) for w in words.split())}) THEN '{stem}'" for stem, words in _FORMS.items()) + " ELSE term END"
     return out | cases.oracle_sql() | {
+        "highlight_excerpt": excerpts_sql(),
         "stemmed_search": search_sql("docs", plan_sql({q: p for q, (_, p) in _STEMMED.items()}), 0, 50, stems=forms),
         "spell_correct": f"""WITH {docs}, a(query) AS (VALUES {asked}), x AS (SELECT query, word, display, df, {grams.format('query')} AS g, {grams.format('word')} AS h, damerau_levenshtein(query, word) AS d
 FROM a JOIN lex ON length(word) BETWEEN 2 AND 32 AND abs(length(word) - length(query)) <= 2 WHERE query NOT IN (SELECT word FROM lex)),
