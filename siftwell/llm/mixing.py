@@ -88,7 +88,8 @@ def expand(docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", t
     taken = taken.select(F.xxhash64("doc_id", "source", "size").alias("_key"), "copies")
     taken = taken.groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
     taken = work.save(taken, "taken")
-    rows = docs.select(whole_row(docs).alias("row"), key.alias("_own")).join(taken, F.col("_own") == F.col("_key"))
+    # by shuffle at every size, as one table has a row for nearly each row of the other
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("_own")).join(taken.hint("merge"), F.col("_own") == F.col("_key"))
     single = rows.filter("_rows = 1").withColumn("_n", F.col("_copies").cast("int"))
     if taken.filter("_rows > 1").isEmpty():
         return _repeated(single)
