@@ -132,12 +132,12 @@ def json_documents(lines: DataFrame) -> DataFrame:
     return lines.select("file", block, "value").mapInPandas(_json_rows, _ROWS)
 
 
-def html_documents(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with the title and body of their HTML."""
+def html_documents(pages: DataFrame, html: str = "html", whole_references: bool = False) -> DataFrame:
+    """pages with the title and body of their HTML; ``whole_references`` as in ``extract``."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [extract(x) for x in f[html]]
+            found = [extract(x, whole_references) for x in f[html]]
             yield f.assign(title=[t for t, _ in found], body=[b for _, b in found])
 
     return pages.mapInPandas(task, StructType([*pages.schema.fields, StructField("title", StringType()), StructField("body", StringType())]))
