@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.storage import Files, small_batches
 from .html import decode, extract
 
 FORMATS = {"xml": "xml", "html": "html", "htm": "html", "txt": "text", "md": "text", "markdown": "text", "jsonl": "json", "ndjson": "json"}
@@ -128,6 +129,7 @@ def _json_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def json_documents(lines: DataFrame) -> DataFrame:
     """url, title, body, bad, file, block, part of lines (file, value and, if files are read in parts, block: the part's first byte)."""
+    small_batches(lines.sparkSession)
     block = F.col("block") if "block" in lines.columns else F.lit(0).cast("long").alias("block")
     return lines.select("file", block, "value").mapInPandas(_json_rows, _ROWS)
 
@@ -140,6 +142,7 @@ def html_documents(pages: DataFrame, html: str = "html", whole_references: bool
             found = [extract(x, whole_references) for x in f[html]]
             yield f.assign(title=[t for t, _ in found], body=[b for _, b in found])
 
+    small_batches(pages.sparkSession)
     return pages.mapInPandas(task, StructType([*pages.schema.fields, StructField("title", StringType()), StructField("body", StringType())]))
 
 
@@ -191,8 +194,6 @@ def read_corpus(spark: SparkSession, paths: list[str], *, on_bad: str = "fail",
     """
     if on_bad not in ("fail", "skip"):
         raise ValueError("on_bad is 'fail' or 'skip'")
-    from ..operators.storage import Files
-
     out: DataFrame | None = None
     for n, path in enumerate(paths):
         path = path.rstrip("/")
